@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .simhash import near_duplicates
+from .substrings import digest, remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_substrings": op7_substrings,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
