@@ -15,6 +15,46 @@ SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containme
 FROM hit JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_shingles
 """
 
+OP1 = """
+WITH RECURSIVE r AS (SELECT source, CAST(floor(sqrt(count(*))) AS BIGINT) AS r FROM documents GROUP BY source),
+w AS (SELECT source, greatest(1, (r * 1000) // (SELECT CAST(sum(r) AS BIGINT) FROM r)) AS s, row_number() OVER (ORDER BY source) AS i FROM r),
+a AS (SELECT list(s ORDER BY i) AS s, CAST(sum(s) AS BIGINT) AS q FROM w),
+e AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS c, CAST(0 AS BIGINT) AS p FROM a
+  UNION ALL
+  SELECT t + 1, list_transform(c, lambda v, i: v + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
+  FROM (
+    SELECT t, c, q, list_min(list_filter(list_transform(c, lambda v, i: CASE WHEN (v * q) // s[i] <= t + 1
+      THEN {'due': ((v + 1) * q + s[i] - 1) // s[i], 'i': i} END), lambda z: z IS NOT NULL)).i AS pick
+    FROM e, a WHERE t + 1 < q)),
+slots AS (SELECT w.source, w.s, t AS slot, row_number() OVER (PARTITION BY w.source ORDER BY t) - 1 AS k FROM e JOIN w ON w.i = e.p WHERE t >= 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents)
+SELECT doc_id, d.source, rank // 16 AS block, CAST(rank % 16 AS INTEGER) AS place, ((rank // 16) // slots.s) * (SELECT q FROM a) + slot AS slot
+FROM d JOIN slots ON slots.source = d.source AND slots.k = (rank // 16) % slots.s
+"""
+
+
+def _op3() -> str:
+    """The rules and the vocabulary as expressions over one URL."""
+    from .urls import LOWER, RULES, SOFT, SOFT_LIMIT, STRICT, UPPER
+
+    def terms(words: list[str]) -> str:
+        return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){w}([^a-z0-9]|$)') AS BIGINT)" for w in words)
+
+    fits = [(v, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+    return f"""
+WITH p AS (SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS u,
+  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
+  {terms(STRICT)} AS n_strict, {terms(SOFT)} AS n_soft FROM p)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {c} THEN '{r}'" for _, r, c in fits)} END AS rule,
+  CASE {" ".join(f"WHEN {c} THEN '{v}'" for v, _, c in fits)} WHEN n_strict > 0 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
+FROM s
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_mixing": OP1,
     "op2_decontamination": OP2,
+    "op3_urls": _op3(),
 }

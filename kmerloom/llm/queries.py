@@ -7,21 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminations
+from .mixing import schedule
 from .oracle import ORACLES
 from .ordermin import edit_fingerprints
 from .simhash import near_duplicates
 from .substrings import digest, remove_repeats
 from .tokens import token_files
+from .toxicity import toxicity
+from .urls import url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID)
     return held.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -39,6 +50,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: The id that ends a document.
 END_ID = 2
 
@@ -50,9 +65,12 @@ def tokenizer_path(name: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_urls": op3_urls,
     "op5_tokens": op5_tokens,
     "op6_fingerprints": op6_fingerprints,
     "op7_substrings": op7_substrings,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
