@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from .shared import new_path, written
 
 #: Pieces that an encoder learns before it forgets those it has not met again since the last such time.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+#: Pieces that go to the library in one call.
+TOGETHER = 64
 _MARKS = ".,;:!?"
 _MANIFEST = "part int, bin string, idx string, doc string, n_docs long, n_ids long, width int"
 
@@ -66,35 +68,44 @@ class Encoder:
         top = max([*self.tokenizer.get_vocab(with_added_tokens=True).values(), 0])
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
         self.line_end = self._encode(["\n"])[0]
+        self.line_id = int(np.frombuffer(self.line_end, self.dtype)[0])
+        self.by_piece &= len(self.line_end) == self.dtype.itemsize
         self.tails: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        # after a line's start, after a space; None: a piece that cannot stand alone
-        self.before = getattr(self, "known", ({}, {}))
-        self.known: tuple[dict, dict] = ({"": None}, {"": None})
+        # a piece without the space before it, or with the line end before it -> ids of it all; None: it cannot stand alone
+        self.before: dict = getattr(self, "known", {})
+        self.known: dict = {"": None, "\n": None}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str], spaced: int) -> None:
-        known, before = self.known[spaced], self.before[spaced]
+    def _learn(self, pieces: set[str]) -> None:
+        known, before = self.known, self.before
         if met := pieces & before.keys():
             known.update((p, before[p]) for p in met)
             pieces = pieces - met
         todo, marked = [], []
         for p in pieces:
+            w = p.rstrip(_MARKS)
             # letters and the marks after them are encoded apart
-            if (w := p.rstrip(_MARKS)) is not p and w.isalpha():
+            if w is not p and (w if w[:1] != "\n" else w[1:]).isalpha():
                 marked.append((p, w))
                 if w not in known:
                     todo.append(w)
-            elif p.strip() is p:
+            elif (core := p.removeprefix("\n")).strip() == core:
                 todo.append(p)
             else:
                 known[p] = None
-        known.update(zip(todo, self._encode([" " + p for p in todo] if spaced else todo), strict=True))
+        for at in range(0, len(todo), TOGETHER):
+            part = todo[at : at + TOGETHER]
+            # line ends part the pieces, and their ids; no piece has another within it
+            ids = self._encode(["".join([p if p[0] == "\n" else "\n " + p for p in part])])[0]
+            size = self.dtype.itemsize
+            cut = (np.flatnonzero(np.frombuffer(ids, self.dtype) == self.line_id) * size).tolist()
+            known.update((p, ids[a:b] if p[0] == "\n" else ids[a + size : b]) for p, a, b in zip(part, cut, [*cut[1:], len(ids)], strict=True))
         for p, w in marked:
             tail = p[len(w) :]
             if tail not in self.tails:
@@ -107,16 +118,14 @@ class Encoder:
             return b""
         if not self.by_piece or any(s in text for s in self.special):
             return self._encode([text])[0]
-        if len(self.known[0]) + len(self.known[1]) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._forget()
-        lines = [line.split(" ") for line in text.split("\n")]
-        firsts, rest = [line[0] for line in lines], [p for line in lines for p in line[1:]]
-        for spaced, pieces in enumerate((firsts, rest)):
-            if missing := set(pieces).difference(self.known[spaced]):
-                self._learn(missing, spaced)
-        after_line, after_space = self.known
+        # as if the text began a line
+        pieces = ("\n" + text.replace("\n", " \n")).split(" ")
+        if missing := set(pieces).difference(self.known):
+            self._learn(missing)
         try:
-            return self.line_end.join([b"".join([after_line[line[0]], *map(after_space.__getitem__, line[1:])]) for line in lines])
+            return b"".join(map(self.known.__getitem__, pieces))[len(self.line_end) :]
         except TypeError:  # blanks that stand together
             return self._encode([text])[0]
 
@@ -155,10 +164,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, order:
                 out = store.open_output_stream(f"{folder}/{names[0]}")
             ids.append(batch.column(0).fill_null(0).to_numpy())
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-            for text in batch.column(1):
-                data = encoder.encode(text.as_py() or "") + end
-                sizes.append(len(data) // encoder.dtype.itemsize)
-                out.write(data)
+            for text in batch.column(1).to_pylist():
+                data = encoder.encode(text or "")
+                sizes.append(len(data) // encoder.dtype.itemsize + 1)
+                out.write(data + end)
         if out is None:
             return
         out.close()
@@ -173,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, order:
     keys = order or [F.col(id_col).cast("long"), F.xxhash64(text)]
     sort = [f"_sort{i}" for i in range(len(keys))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[k.alias(s) for k, s in zip(keys, sort, strict=True)])
-    dealt = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).select("doc_id", "text")
+    dealt = rows.repartitionByRange(*sort[:1]).sortWithinPartitions(*sort).select("doc_id", "text")
     return written(dealt.mapInArrow(run, _MANIFEST), "manifest")
 
 
@@ -205,10 +214,11 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
                 doc = _mapped(path, row["doc"], "u1")
                 n = len(offsets) - 1
                 names, null = doc[: 8 * n].view("<i8"), doc[8 * n :].astype(bool)
-                for at in range(0, n, 1 << 14):
-                    to = min(n, at + (1 << 14))
+                for at in range(0, n, 1 << 12):
+                    to = min(n, at + (1 << 12))
                     cut = offsets[at : to + 1].tolist()
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+                    wide = memoryview(ids[cut[0] : cut[-1]].astype("<u4")).cast("B")
+                    crc = [zlib.crc32(wide[4 * (a - cut[0]) : 4 * (b - cut[0])]) for a, b in zip(cut, cut[1:], strict=False)]
                     own = offsets[at : to + 1]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.arange(at, to) + row["docs"]), pa.array(np.array(names[at:to]), mask=null[at:to]), pa.array(own[:-1] + row["base"]), pa.array(np.diff(own)), pa.array(crc, pa.int64())],
