@@ -21,21 +21,6 @@ SOFT = [
     "sex", "sexy", "nude", "naked", "erotic", "fetish", "hot", "girls", "dating", "hookup", "casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "win", "prize",
     "free", "cheap", "viagra", "cialis", "pills", "pharmacy", "replica", "torrent", "crack", "cam", "cams", "webcam", "escort", "ads", "adserver", "track", "tracker", "click", "popup",
 ]
-SOFT_LIMIT different soft ones.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Terms of either weight.
-STRICT = ["porn", "porno", "xxx", "hentai", "camgirls", "milf", "escorts", "nsfw", "sexcam", "warez", "keygen"]
-SOFT = ["adult", "sex", "sexy", "nude", "naked", "erotic", "fetish", "hot", "girls", "dating", "hookup", "casino", "betting", "poker", "slots", "jackpot", "viagra", "cialis", "pills", "torrent", "crack", "cam", "cams", "webcam", "escort"]
 SOFT_LIMIT = 2
 #: (verdict, host, path); a rule fits its host and all subdomains, and paths that start with its own.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
