@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminations
+from .html import extract
+from .licenses import license_report
 from .mixing import schedule
 from .oracle import ORACLES
 from .ordermin import edit_fingerprints
@@ -33,6 +35,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID)
     return held.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -46,6 +52,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -68,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_urls": op3_urls,
+    "op4_html": op4_html,
     "op5_tokens": op5_tokens,
     "op6_fingerprints": op6_fingerprints,
     "op7_substrings": op7_substrings,
+    "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
