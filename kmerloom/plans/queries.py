@@ -1,10 +1,175 @@
-"""The registered queries of the graph engine and their SQL."""
+"""The registered queries of the graph engine and their DuckDB SQL.
+
+The tables hold no DNA: documents and benchmark items are turned into reads by
+functions.dna.text_to_dna.  Queries read their tables whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.dna import unpacked
+from ..operators import filters, genotype, graph, unitigs, vcf
+from ..sources.reads import reads_of_prose
+
+K, K_PATHS = 11, 15
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _docs(spark: SparkSession, sf_dir: str, sample: str = "lang") -> DataFrame:
+    return filters.contigs(reads_of_prose(spark.read.parquet(f"{sf_dir}/documents.parquet"), sample), K)
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.build(_docs(spark, sf_dir), K)
+
+
+def _items(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("one", F.lit("all"))
+    return filters.contigs(reads_of_prose(items, "one", "item_id"), k)
+
+
+def _item_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unitigs.written(graph.union_of_colours(graph.build(_items(spark, sf_dir, K_PATHS), K_PATHS)))
+
+
+def covg_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.covg_distribution(_nodes(spark, sf_dir))
+
+
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = graph.build(_items(spark, sf_dir, K_PATHS), K_PATHS)
+    return items.select(unpacked(F.col("kmer"), K_PATHS).alias("kmer"), "covg", "edges")
+
+
+def read_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.read_length_distribution(_docs(spark, sf_dir))
+
+
+def sample_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.sample_metadata(_docs(spark, sf_dir, "source"))
+
+
+def homopolymer_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = reads_of_prose(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang")
+    return filters.read_length_distribution(filters.contigs(reads, K, homopolymer=4))
+
+
+def degree_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degree_distribution(_nodes(spark, sf_dir))
+
+
+def sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.sharing(_nodes(spark, sf_dir))
+
+
+def colour_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.colour_overlaps(_nodes(spark, sf_dir))
+
+
+def pan_genome_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genes = _items(spark, sf_dir, K).select("read_id", "seq")
+    return graph.pan_genome_matrix(genes, _nodes(spark, sf_dir), K, "read_id").select(F.col("id").alias("item_id"), "colour", "fraction", "least")
+
+
+def health_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.health_check(_item_graph(spark, sf_dir), K_PATHS).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def low_coverage_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.covg_distribution(graph.remove_low_coverage(_nodes(spark, sf_dir), 2, K))
+
+
+def supernodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unitigs.once(unitigs.unitigs(_item_graph(spark, sf_dir), K_PATHS)).select("seq", "n_edges", "min_covg", "max_covg", "is_cycle")
+
+
+def supernode_n50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unitigs.n50(unitigs.once(unitigs.unitigs(_item_graph(spark, sf_dir), K_PATHS)), K_PATHS)
+
+
+def clipped_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unitigs.clip_tips(_item_graph(spark, sf_dir), K_PATHS).select(unpacked(F.col("kmer"), K_PATHS).alias("kmer"), "covg", "edges")
+
+
+def cleaned_supernodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unitigs.remove_low_coverage_supernodes(_item_graph(spark, sf_dir), K_PATHS, 1).select(unpacked(F.col("kmer"), K_PATHS).alias("kmer"), "covg", "edges")
+
+
+def bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unitigs.bubbles(unitigs.written(graph.union_of_colours(graph.build(_items(spark, sf_dir, 9), 9))), 9).select("branch1", "branch2")
+
+
+def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihoods over two read counts of each order line, as a test of the formulae."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sites = lines.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("c1"), F.expr("cast(l_suppkey % 30 AS long)").alias("c2"))
+    return genotype.call(sites, F.lit(20.0), F.lit(20.0)).select("l_orderkey", "l_linenumber", "gt", "gt_conf")
+
+
+def call_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of change between alleles that are cut from part names turned to DNA."""
+    from ..functions.dna import text_to_dna
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    dna = text_to_dna(F.col("p_name"))
+    calls = part.select(F.lit("c").alias("chrom"), F.col("p_partkey").alias("pos"), F.expr("cast(p_partkey AS string)").alias("id"), F.substring(dna, 1, 1).alias("ref"), F.substring(dna, F.lit(2), (F.col("p_partkey") % 3 + 1).cast("int")).alias("alt"))
+    return vcf.summary(calls)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        covg_distribution, kmer_counts, read_lengths, sample_metadata, homopolymer_contigs, degree_distribution, sharing, colour_overlaps, pan_genome_matrix, health_check,
+        low_coverage_kmers, supernodes, supernode_n50, clipped_tips, cleaned_supernodes, bubbles, genotypes, call_summary,
+    )
+}
+
+
+def _contigs_sql(table: str, sample: str, id_col: str, k: int, name: str = "c") -> str:
+    """Contigs of at least k bases, as text_to_dna and contigs make them."""
+    dna = f"translate(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'), '{_ALPHABET}{_ALPHABET.lower()}0123456789', '{('ACGT' * 7)[:26] * 2}NNNNNNNNNN')"
+    return f"{name} AS (SELECT * FROM (SELECT {sample} AS sample, {id_col} AS read_id, unnest(string_split_regex({dna}, 'N+')) AS seq FROM {table}) WHERE length(seq) >= {k})"
+
+
+def _rc(s: str) -> str:
+    return f"reverse(translate({s}, 'ACGT', 'TGCA'))"
+
+
+def _nodes_sql(table: str, sample: str, id_col: str, k: int) -> str:
+    """n (kmer, colour, covg, edges) by strings."""
+    bit = lambda s: f"(1 << (strpos('ACGT', {s}) - 1))"
+    comp = "translate({}, 'ACGT', 'TGCA')"
+    return f"""{_contigs_sql(table, sample, id_col, k)},
+p AS (SELECT sample, seq, unnest(generate_series(1, length(seq) - {k} + 1)) AS i FROM c),
+w AS (SELECT sample, substr(seq, i, {k}) AS s, substr(seq, i + {k}, 1) AS nx, CASE WHEN i > 1 THEN substr(seq, i - 1, 1) ELSE '' END AS pv FROM p),
+o AS (SELECT sample, least(s, {_rc("s")}) AS kmer, s < {_rc("s")} AS fw, CASE WHEN nx <> '' THEN {bit("nx")} ELSE 0 END AS a, CASE WHEN pv <> '' THEN {bit(comp.format("pv"))} ELSE 0 END AS b FROM w),
+n AS (SELECT kmer, sample AS colour, count(*) AS covg, CAST(bit_or(CASE WHEN fw THEN a + b * 16 ELSE a * 16 + b END) AS INTEGER) AS edges FROM o GROUP BY kmer, sample)"""
+
+
+_N = _nodes_sql("documents", "lang", "doc_id", K)
+_I = _nodes_sql("benchmark", "'all'", "item_id", K_PATHS)
+_LF = "CASE WHEN {0} < 2 THEN 0.0 ELSE list_sum(list_transform(generate_series(1, {0}), lambda x: ln(CAST(x AS DOUBLE)))) END"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "covg_distribution": f"WITH {_N} SELECT colour, least(covg, 10000) AS covg, count(*) AS n FROM n GROUP BY 1, 2",
+    "kmer_counts": f"WITH {_I} SELECT kmer, covg, edges FROM n",
+    "read_lengths": f"WITH {_contigs_sql('documents', 'lang', 'doc_id', K)} SELECT sample, CAST(length(seq) AS INTEGER) AS length, count(*) AS n FROM c GROUP BY 1, 2",
+    "sample_metadata": f"WITH {_contigs_sql('documents', 'source', 'doc_id', K)} SELECT sample, CAST(sum(length(seq)) AS BIGINT) AS total_seq, CAST(sum(length(seq)) // count(*) AS BIGINT) AS mean_read_len FROM c GROUP BY 1",
+    "degree_distribution": f"WITH {_N} SELECT colour, CAST(bit_count(edges & 15) AS INTEGER) AS out_fw, CAST(bit_count(edges >> 4) AS INTEGER) AS out_rc, count(*) AS n FROM n GROUP BY 1, 2, 3",
+    "sharing": f"WITH {_N} SELECT n_colours, count(*) AS n FROM (SELECT kmer, count(*) AS n_colours FROM n WHERE edges <> 0 GROUP BY kmer) GROUP BY 1",
+    "colour_overlaps": f"WITH {_N} SELECT x.colour AS a, y.colour AS b, count(*) AS n FROM n x JOIN n y USING (kmer) WHERE x.edges <> 0 AND y.edges <> 0 GROUP BY 1, 2",
+    "pan_genome_matrix": f"""WITH {_N}, {_contigs_sql("benchmark", "'all'", "item_id", K, "g")},
+q AS (SELECT read_id AS item_id, substr(seq, i, {K}) AS s FROM (SELECT read_id, seq, unnest(generate_series(1, length(seq) - {K} + 1)) AS i FROM g)),
+q2 AS (SELECT item_id, least(s, {_rc("s")}) AS kmer FROM q), z AS (SELECT item_id, count(*) AS size FROM q2 GROUP BY 1)
+SELECT q2.item_id, n.colour, round(count(*) / any_value(size), 2) AS fraction, min(covg) AS least FROM q2 JOIN n USING (kmer) JOIN z ON z.item_id = q2.item_id GROUP BY 1, 2""",
+    "low_coverage_kmers": f"WITH {_N}, k AS (SELECT kmer FROM n GROUP BY kmer HAVING sum(covg) > 2) SELECT colour, least(covg, 10000) AS covg, count(*) AS n FROM n JOIN k USING (kmer) GROUP BY 1, 2",
+    "genotypes": f"""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS c1, l_suppkey % 30 AS c2 FROM lineitem),
+l AS (SELECT *, round(c1 * ln(20.0) - 20.0 - {_LF.format("c1")} + greatest(0.0, c2 - 0.2) * ln(0.01), 6) AS h1,
+  round((c1 * ln(10.0) - 10.0 - {_LF.format("c1")}) + (c2 * ln(10.0) - 10.0 - {_LF.format("c2")}), 6) AS h, round(c2 * ln(20.0) - 20.0 - {_LF.format("c2")} + greatest(0.0, c1 - 0.2) * ln(0.01), 6) AS h2 FROM s)
+SELECT l_orderkey, l_linenumber, CASE WHEN c1 + c2 <= 0 THEN 'NO_CALL' WHEN h1 >= h AND h1 >= h2 THEN 'HOM1' WHEN h >= h2 THEN 'HET' ELSE 'HOM2' END AS gt,
+  round(list_sort([h1, h, h2])[3] - list_sort([h1, h, h2])[2], 2) AS gt_conf FROM l""",
+}
