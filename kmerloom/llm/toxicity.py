@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from .text import SYMBOL
 
 #: Labelled rows of each class that the fit uses at most.
-TOXIC_ROWS, ORDINARY_ROWS = 2500, 4000
+TOXIC_ROWS, ORDINARY_ROWS = 1500, 3000
 #: Bytes of the dictionaries; windows that ordinary samples are cut into and their number.
 TOXIC_BYTES, ORDINARY_BYTES, SAMPLE_WORDS, SAMPLES = 16 << 10, 64 << 10, 30, 20_000
 #: A beginning is particular if it has so many bytes and places, is so many times as frequent in toxic
 #: text, and not rarer there than the most frequent such one by more than FLOOR.
 BEGINNING, PLACES, TIMES, FLOOR = 4, 3, 8, 100
 THRESHOLD = 0.3
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _CLEAN = bytes(0x20 if SYMBOL[b] and not 0x41 <= b <= 0x5A else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
