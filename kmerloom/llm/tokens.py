@@ -52,7 +52,8 @@ class Encoder:
     tokenizer, goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -118,7 +119,7 @@ class Encoder:
             return b""
         if not self.by_piece or any(s in text for s in self.special):
             return self._encode([text])[0]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
         # as if the text began a line
         pieces = ("\n" + text.replace("\n", " \n")).split(" ")
@@ -130,26 +131,28 @@ class Encoder:
             return self._encode([text])[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, remembered: int = REMEMBERED) -> Encoder:
     """This process's encoder of a tokenizer file; a worker keeps it from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS.clear()  # one at a time
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, order: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, order: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Write the ids of every text, each with end_id appended, and return the manifest.
 
     order: what the documents are sorted by; doc_id, and texts of one doc_id by
-    their hash, unless given.  A null text is empty: it has the end id alone.  No
+    their hash, unless given.  remembered: pieces a worker's encoder keeps, about
+    250 bytes each and twice as many at most.  A null text is empty: it has the end id alone.  No
     documents: no files.  Other columns are not looked at.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, remembered)
         end = np.array([end_id], encoder.dtype).tobytes()
         part = TaskContext.get().partitionId()
         base = f"part-{part:05d}-{uuid.uuid4().hex}"
