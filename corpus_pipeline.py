@@ -21,6 +21,8 @@ from kmerloom.llm.simhash import near_duplicates
 from kmerloom.llm.tokens import token_files
 from kmerloom.llm.toxicity import THRESHOLD, fit_labels, scored
 
+#: Pieces that a worker's encoder keeps: its process serves the other stages too.
+REMEMBERED = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -61,7 +63,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
     else:
         order = None
-    return token_files(docs, q.tokenizer_path("byte_bpe_50k.json"), q.END_ID, order=order)
+    return token_files(docs, q.tokenizer_path("byte_bpe_50k.json"), q.END_ID, order=order, remembered=REMEMBERED)
 
 
 def _readable(docs: DataFrame) -> list[str]:
