@@ -48,3 +48,18 @@ def drop_duplicate_starts(found: DataFrame, k: int) -> DataFrame:
 
     order = Window.partitionBy("sample", F.substring("seq", 1, k)).orderBy("read_id", "contig_no")
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def drop_duplicate_pairs(found: DataFrame, k: int) -> DataFrame:
+    """Contigs of pairs (sample, read_id, mate, contig_no, seq) without those of duplicate pairs.
+
+    A mate starts at its first contig's first k-mer and strand.  A pair is a
+    duplicate if each mate that has a contig starts where a mate of an earlier
+    pair (a lesser read_id) did.  A duplicate's starts are all marked already,
+    so what is marked before a pair is the starts of all pairs before it: the
+    first pair of each start decides, and no pair waits for another.
+    """
+    starts = found.groupBy("sample", "read_id", "mate").agg(F.min_by(F.substring("seq", 1, k), "contig_no").alias("start"))
+    first = starts.groupBy("sample", "start").agg(F.min("read_id").alias("first"))
+    fresh = starts.join(first, ["sample", "start"]).where("first = read_id").select("sample", "read_id").distinct()
+    return found.join(fresh, ["sample", "read_id"], "left_semi")

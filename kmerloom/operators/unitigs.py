@@ -145,13 +145,21 @@ def novel_contigs(graph: DataFrame, others: DataFrame, k: int, least_length: int
 
 
 def bubbles(graph: DataFrame, k: int) -> DataFrame:
-    """(start, branch1, branch2, stop): two paths that leave a node and meet at one, by first base; one pair for a start.
+    """(start, branch1, branch2, stop, inner1, inner2): two paths that leave a node and meet at one, by first base; one pair for a start.
 
     Of a bubble seen from its two ends the one from the lesser node is kept.
-    Branches are the bases after the start's k-mer.
+    Branches are the bases after the start's k-mer, inner1 and inner2 the k-mers
+    between start and stop.
     """
-    rows = unitigs(graph, k).select(F.col("kmers")[0].alias("start"), F.element_at("kmers", -1).alias("stop"), F.expr(f"substring(seq, {k + 1})").alias("branch"))
-    pair = rows.groupBy("start", "stop").agg(F.array_sort(F.collect_list("branch")).alias("b")).where("size(b) > 1")
+    return bubbles_of(unitigs(graph, k), k)
+
+
+def bubbles_of(paths_: DataFrame, k: int) -> DataFrame:
+    """The bubbles among paths that unitigs() gave."""
+    inner = F.expr("transform(slice(kmers, 2, size(kmers) - 2), x -> shiftright(x, 1))")
+    rows = paths_.select(F.col("kmers")[0].alias("start"), F.element_at("kmers", -1).alias("stop"), F.struct(F.expr(f"substring(seq, {k + 1})").alias("branch"), inner.alias("inner")).alias("b"))
+    pair = rows.groupBy("start", "stop").agg(F.array_sort(F.collect_list("b")).alias("b")).where("size(b) > 1")
     one = Window.partitionBy("start").orderBy("branch1", "branch2")
-    found = pair.select("start", F.col("b")[0].alias("branch1"), F.col("b")[1].alias("branch2"), "stop").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    cell = lambda i, f: F.col("b")[i][f].alias(f"{f}{i + 1}")
+    found = pair.select("start", cell(0, "branch"), cell(1, "branch"), "stop", cell(0, "inner"), cell(1, "inner")).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
     return found.where(F.shiftright("start", 1) <= F.shiftright("stop", 1))

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dna import unpacked
-from ..operators import filters, genotype, graph, unitigs, vcf
+from ..functions.dna import reverse_complement, unpacked
+from ..operators import callset, correction, discovery, fastn, filters, genotype, graph, population, unitigs, vcf
 from ..sources.reads import reads_of_prose
 
 K, K_PATHS = 11, 15
@@ -120,11 +120,144 @@ def call_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vcf.summary(calls)
 
 
+# Calls are made of order lines, features of parts and chromosomes of benchmark items; Spark and DuckDB read the same expressions.
+_CALLS = {
+    "chrom": "concat('chr', l_suppkey % 5 + 1)", "pos": "CAST(l_partkey * 7 + l_linenumber AS BIGINT)", "id": "concat(l_orderkey, '_', l_linenumber)",
+    "ref": "substr('ACGTTGCAACGGT', CAST(l_quantity % 10 AS INTEGER) + 1, 1 + l_linenumber % 3)", "alt": "substr('CATGGTACCTTAG', CAST(l_orderkey % 10 AS INTEGER) + 1, CAST(1 + l_orderkey % 3 AS INTEGER))",
+}
+_FEATURES = {"chrom": "concat('chr', p_partkey % 5 + 1)", "start": "CAST(p_partkey * 7 AS BIGINT)", "stop": "CAST(p_partkey * 7 + p_size * 3 AS BIGINT)", "name": "concat('g', p_partkey)"}
+_STEP, _FLANK = 37, 12
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    whole = rows.select(*[F.expr(e).alias(c) for c, e in _CALLS.items()])
+    return whole.withColumns({"qual": F.lit("."), "filter": F.lit("PASS"), "info": F.create_map(F.lit("K"), F.length("ref").cast("string"))})
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(*[F.expr(e).alias(c) for c, e in _FEATURES.items()])
+
+
+def _chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads_of_prose(spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("one", F.lit("all")), "one", "item_id").select(F.col("read_id").cast("string").alias("chrom"), "seq")
+
+
+def _item_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change at every so many bases of each item."""
+    at = _chroms(spark, sf_dir).where("length(seq) > 0").select("chrom", "seq", F.explode(F.expr(f"sequence(1, length(seq), {_STEP})")).alias("p"))
+    return at.select("chrom", F.col("p").cast("long").alias("pos"), F.expr("concat(chrom, '_', p)").alias("id"), F.expr("substring(seq, p, 1 + p % 3)").alias("ref"), F.lit("A").alias("alt"))
+
+
+def unique_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcf.drop_duplicates(_calls(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "id")
+
+
+def combined_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcf.combine_alleles(_calls(spark, sf_dir)).select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"))
+
+
+def separate_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcf.remove_overlaps(vcf.drop_duplicates(_calls(spark, sf_dir))).select("chrom", "pos", "ref", "alt")
+
+
+def calls_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcf.filter_regions(_calls(spark, sf_dir), _features(spark, sf_dir).where("stop - start > 100")).select("chrom", "pos", "id")
+
+
+def call_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callset.overlapping_features(_calls(spark, sf_dir), _features(spark, sf_dir))
+
+
+def call_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callset.nearest_feature(_calls(spark, sf_dir), _features(spark, sf_dir).where("stop - start <= 30"))
+
+
+def call_flanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = callset.reference_windows(_chroms(spark, sf_dir), 256, 64)
+    return callset.add_flanks(_item_calls(spark, sf_dir), windows, _FLANK, 256).select("id", "left_flank", "right_flank")
+
+
+def call_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = callset.reference_windows(_chroms(spark, sf_dir), 256, 64)
+    turned = _item_calls(spark, sf_dir).where("ref NOT LIKE '%N%'").withColumn("ref", F.when(F.col("pos") % 2 == 0, reverse_complement(F.col("ref"))).otherwise(F.col("ref")))
+    return callset.correct_strand(turned, windows, 256).select("id", "ref", "alt", "strand")
+
+
+def sv_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callset.sv_lengths(_calls(spark, sf_dir))
+
+
+def call_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callset.chromosome_bins(_calls(spark, sf_dir), 1000)
+
+
+def call_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callset.info_tags(_calls(spark, sf_dir))
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return callset.transitions_by(_calls(spark, sf_dir), "chrom")
+
+
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastn.base_counts(reads_of_prose(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang"), "read_id").withColumnRenamed("name", "doc_id")
+
+
+def split_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads_of_prose(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang").where("seq IS NOT NULL")
+    return fastn.split_entries(rows, 200, 30, "read_id").groupBy(F.col("name").alias("doc_id")).agg(F.count("*").alias("parts"), F.sum(F.length("seq")).alias("bases"))
+
+
+def duplicate_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads left of neighbouring documents as pairs."""
+    found = _docs(spark, sf_dir).withColumns({"mate": F.expr("cast(read_id % 2 AS int)"), "read_id": F.expr("read_id div 2")})
+    return filters.drop_duplicate_pairs(found, K).select("sample", "read_id").distinct()
+
+
+def _changed(chroms: DataFrame, sample: str, change: str) -> DataFrame:
+    """Contigs of chromosomes with bases in their middle put in place of the two that are there."""
+    seq = F.expr(f"concat(left(seq, length(seq) div 2), {change}, substring(seq, length(seq) div 2 + 3))")
+    reads = chroms.select(F.lit(sample).alias("sample"), F.xxhash64("chrom").alias("read_id"), F.lit(0).alias("mate"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return filters.contigs(reads, K_PATHS)
+
+
+def colour_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bubbles between the benchmark items and the same items with two bases complemented."""
+    chroms = _chroms(spark, sf_dir)
+    own, other = "substring(seq, length(seq) div 2 + 1, 2)", "translate(substring(seq, length(seq) div 2 + 1, 2), 'ACGT', 'TGCA')"
+    nodes = unitigs.written(graph.build(_changed(chroms, "items", own).unionByName(_changed(chroms, "changed", other)), K_PATHS))
+    return discovery.call_bubbles(nodes, K_PATHS, ["items"], ["changed"]).select("flank5p", "branch1", "branch2", "flank3p")
+
+
+def path_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths through changed items that leave the items and return."""
+    chroms = _chroms(spark, sf_dir)
+    sample = unitigs.written(graph.union_of_colours(graph.build(_changed(chroms, "s", "'ACA'"), K_PATHS)))
+    return discovery.path_divergences(chroms, sample, K_PATHS, 200).select("chrom", "pos", "branch1", "branch2")
+
+
+def corrected_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with a poor base changed in the middle, corrected by the items' own graph."""
+    reads = _chroms(spark, sf_dir).select(F.col("chrom").cast("long").alias("read_id"), F.col("chrom").alias("name"), F.expr("concat(left(seq, length(seq) div 2), 'A', substring(seq, length(seq) div 2 + 2))").alias("seq"))
+    reads = reads.withColumn("qual", F.expr("concat(repeat('I', length(seq) div 2), '#', repeat('I', length(seq) - length(seq) div 2 - 1))"))
+    return correction.correct(reads.where("length(seq) > 0"), _item_graph(spark, sf_dir), K_PATHS, 10).select("id", "decision", "n_fixed", "seq")
+
+
+def site_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a site, its lines as samples."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("a"), (F.col("l_suppkey") % 30).cast("int").alias("b")).alias("x"))
+    sites = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select("l_orderkey", F.col("x.a").alias("c1"), F.col("x.b").alias("c2"), F.lit(20.0).alias("mean"))
+    return population.classify(sites).select("l_orderkey", "model", F.round("llk_error", 4).alias("llk_error"), F.round("llk_repeat", 4).alias("llk_repeat"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         covg_distribution, kmer_counts, read_lengths, sample_metadata, homopolymer_contigs, degree_distribution, sharing, colour_overlaps, pan_genome_matrix, health_check,
         low_coverage_kmers, supernodes, supernode_n50, clipped_tips, cleaned_supernodes, bubbles, genotypes, call_summary,
+        unique_calls, combined_alleles, separate_calls, calls_in_regions, call_features, call_distances, call_flanks, call_strands, sv_lengths, call_bins, call_tags, transitions,
+        base_counts, split_sequences, duplicate_starts, colour_bubbles, path_divergences, corrected_reads, site_models,
     )
 }
 
@@ -173,3 +306,38 @@ l AS (SELECT *, round(c1 * ln(20.0) - 20.0 - {_LF.format("c1")} + greatest(0.0,
 SELECT l_orderkey, l_linenumber, CASE WHEN c1 + c2 <= 0 THEN 'NO_CALL' WHEN h1 >= h AND h1 >= h2 THEN 'HOM1' WHEN h >= h2 THEN 'HET' ELSE 'HOM2' END AS gt,
   round(list_sort([h1, h, h2])[3] - list_sort([h1, h, h2])[2], 2) AS gt_conf FROM l""",
 }
+
+_CALL_SQL = f"calls AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _CALLS.items())} FROM lineitem)"
+_FEATURE_SQL = f"features AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _FEATURES.items())} FROM part)"
+_DNA = f"translate(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'), '{_ALPHABET}{_ALPHABET.lower()}0123456789', '{('ACGT' * 7)[:26] * 2}NNNNNNNNNN')"
+_UNIQUE_SQL = "u AS (SELECT chrom, pos, ref, alt, min(id) AS id FROM calls GROUP BY ALL)"
+_ITEM_SQL = f"""chroms AS (SELECT CAST(item_id AS VARCHAR) AS chrom, {_DNA} AS seq FROM benchmark),
+i AS (SELECT *, substr(seq, p, 1 + p % 3) AS ref, concat(chrom, '_', p) AS id FROM (SELECT chrom, seq, unnest(generate_series(1, length(seq), {_STEP})) AS p FROM chroms WHERE length(seq) > 0))"""
+
+ORACLES |= {
+    "unique_calls": f"WITH {_CALL_SQL}, {_UNIQUE_SQL} SELECT * FROM u",
+    "combined_alleles": f"WITH {_CALL_SQL} SELECT chrom, pos, ref, string_agg(DISTINCT alt, ',' ORDER BY alt) AS alts FROM calls GROUP BY 1, 2, 3",
+    "separate_calls": f"""WITH {_CALL_SQL}, {_UNIQUE_SQL}, n AS (SELECT *, row_number() OVER () AS k FROM u)
+SELECT chrom, pos, ref, alt FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE a.chrom = b.chrom AND a.k <> b.k AND a.pos <= b.pos + length(b.ref) - 1 AND b.pos <= a.pos + length(a.ref) - 1 AND b.pos BETWEEN a.pos - 3 AND a.pos + 3)""",
+    "calls_in_regions": f"WITH {_CALL_SQL}, {_FEATURE_SQL} SELECT chrom, pos, id FROM calls c WHERE EXISTS (SELECT 1 FROM features f WHERE f.stop - f.start > 100 AND f.chrom = c.chrom AND c.pos BETWEEN f.start AND f.stop)",
+    "call_features": f"""WITH {_CALL_SQL}, {_FEATURE_SQL} SELECT c.chrom, pos, ref, alt, string_agg(DISTINCT name, ',' ORDER BY name) AS features
+FROM calls c JOIN features f ON f.chrom = c.chrom AND c.pos <= f.stop AND c.pos + length(c.ref) - 1 >= f.start GROUP BY 1, 2, 3, 4""",
+    "call_distances": f"""WITH {_CALL_SQL}, {_FEATURE_SQL}, p AS (SELECT DISTINCT chrom, pos FROM calls),
+d AS (SELECT p.chrom, p.pos, min(greatest(f.start - p.pos, p.pos - f.stop, 0)) AS distance FROM p JOIN features f ON f.chrom = p.chrom AND f.stop - f.start <= 30 GROUP BY 1, 2)
+SELECT chrom, pos, ref, alt, distance FROM calls LEFT JOIN d USING (chrom, pos)""",
+    "call_flanks": f"WITH {_ITEM_SQL} SELECT id, substr(seq, CAST(greatest(p - {_FLANK}, 1) AS BIGINT), CAST(least({_FLANK}, p - 1) AS BIGINT)) AS left_flank, substr(seq, p + length(ref), {_FLANK}) AS right_flank FROM i",
+    "call_strands": f"""WITH {_ITEM_SQL}, t AS (SELECT id, ref AS own, CASE WHEN p % 2 = 0 THEN {_rc("ref")} ELSE ref END AS ref FROM i WHERE ref NOT LIKE '%N%')
+SELECT id, own AS ref, CASE WHEN own = ref THEN 'A' ELSE 'T' END AS alt, CASE WHEN own = ref THEN 1 ELSE -1 END AS strand FROM t""",
+    "sv_lengths": f"WITH {_CALL_SQL} SELECT CAST(length(alt) - length(ref) AS INTEGER) AS svlen, count(*) AS n FROM calls GROUP BY 1",
+    "call_bins": f"WITH {_CALL_SQL} SELECT chrom, (pos - 1) // 1000 AS bin, count(*) AS n FROM calls GROUP BY 1, 2",
+    "call_tags": f"WITH {_CALL_SQL} SELECT 'K' AS tag, CAST(length(ref) AS VARCHAR) AS value, count(*) AS n FROM calls GROUP BY 2",
+    "transitions": f"""WITH {_CALL_SQL} SELECT chrom, count(*) FILTER (ref || alt IN ('AG', 'GA', 'CT', 'TC')) AS transitions, count(*) FILTER (ref || alt NOT IN ('AG', 'GA', 'CT', 'TC')) AS transversions
+FROM calls WHERE length(ref) = 1 AND length(alt) = 1 AND ref <> alt GROUP BY 1""",
+    "base_counts": f"""WITH s AS (SELECT doc_id, {_DNA} AS seq FROM documents), b AS (SELECT doc_id, {', '.join(f"length(seq) - length(replace(seq, '{x}', '')) AS {x.lower()}" for x in "ACGT")}, length(seq) - length(replace(seq, 'N', '')) AS other FROM s)
+SELECT *, round((g + c) / nullif(a + c + g + t, 0), 4) AS gc FROM b""",
+    "split_sequences": f"""WITH s AS (SELECT doc_id, length({_DNA}) AS n FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, n, unnest(generate_series(1, greatest(n - 30, 1), 170)) AS b FROM s)
+SELECT doc_id, count(*) AS parts, CAST(sum(least(200, n - b + 1)) AS BIGINT) AS bases FROM p GROUP BY 1""",
+    "duplicate_starts": f"""WITH {_contigs_sql("documents", "lang", "doc_id", K)}, o AS (SELECT lang AS sample, doc_id // 2 AS read_id, doc_id % 2 AS mate, regexp_extract({_DNA}, '[ACGT]{{{K},}}') AS seq FROM documents),
+s AS (SELECT sample, read_id, mate, substr(seq, 1, {K}) AS start FROM o WHERE length(seq) >= {K}), f AS (SELECT sample, start, min(read_id) AS first FROM s GROUP BY 1, 2)
+SELECT DISTINCT sample, read_id FROM s JOIN f USING (sample, start) WHERE first = read_id""",
+}
