@@ -35,6 +35,8 @@ BITS, NEAR, SEED, SHINGLE = 64, 3, 42, 3
 SEGMENT = 31  # 2^5 - 1: the length of a perfect Hamming code
 #: Members of an anchor up to which all its pairs are compared at once.
 SMALL = 64
+#: A class is hot if it holds more rows than both HOT_ROWS and this share of all: there are fewer than HOT_SHARE.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
 _U = np.uint64
 
 
@@ -193,10 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not looked at.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = connected_components(near_links(classes))
     grouped = roots.join(classes, roots["node"] == classes["fp"]).select("root", "fp", "least")
     whole = grouped.groupBy("root").agg(F.min("least").alias("whole"))
     own = grouped.join(whole, "root").select("fp", "whole")
-    of = classes.join(own, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = written(classes.join(own, "fp", "left").select("fp", "n", F.coalesce("whole", "least").alias("component_id")), "components")
+    # rows of hot classes stay where they are; the others go by their fingerprint
+    total = of.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(of.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("fp", "component_id"))
+    spread = rows.join(hot.drop("component_id"), "fp", "left_anti").join(of.drop("n"), "fp").unionByName(rows.join(hot, "fp"))
+    return spread.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
