@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .urls import host_and_path
 
-#: Tokens of a run, different streams that hold it, pages of a shard, and the share of pages above which a host has shards.
+#: Tokens of a run, different streams that hold it, pages of a shard, and the share of pages above which a host's shards are sent to all tasks.
 RUN, PAGES, SHARD, HOT_SHARE = 8, 3, 2000, 100_000
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -198,8 +198,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host_and_path(url)[0].alias("host"))
     counts = rows.groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    large = counts.where(F.col("n") > max(SHARD, total // HOT_SHARE)).select("host", F.expr(f"cast(n div {SHARD} + 1 AS int)").alias("shards"))  # fewer than HOT_SHARE
-    dealt = rows.join(F.broadcast(large), "host", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), "shards"), F.lit(0)))
+    large = counts.where(F.col("n") > SHARD).select("host", "n", F.expr(f"cast(n div {SHARD} + 1 AS int)").alias("shards"))
+    bound = total // HOT_SHARE
+    # the largest, fewer than HOT_SHARE, are sent to all tasks; those between, if there can be any, are joined
+    dealt = rows.join(F.broadcast(large.where(F.col("n") > bound).drop("n")), "host", "left")
+    if bound > SHARD:
+        between = large.where(F.col("n") <= bound).select("host", F.col("shards").alias("more"))
+        dealt = dealt.join(between, "host", "left").withColumn("shards", F.coalesce("shards", "more")).drop("more")
+    dealt = dealt.withColumn("shard", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), "shards"), F.lit(0)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
