@@ -272,3 +272,22 @@ def test_pipeline(spark, tmp_path):
     placed = mixing.mixed(table(spark, rows[:60])).orderBy("_slot", "_place").select(F.col("doc_id")).collect()
     assert [r["doc_id"] for r in got] == [r["doc_id"] for r in placed]
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
+
+
+def test_hosts_are_sharded_alike_however_they_are_joined(spark, monkeypatch):
+    shared = "one two three four five six seven eight nine ten"
+    rows = [(i, f"http://h{i % 3}.org/{i}", f"<div>{shared}</div><div>own words of page number {i} stand here</div>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(html, "SHARD", 5)
+    sent = sorted(map(tuple, html.extract(pages).collect()))
+    monkeypatch.setattr(html, "HOT_SHARE", 2)
+    joined = sorted(map(tuple, html.extract(pages).collect()))
+    assert sent == joined and len(sent) == 60
+
+
+def test_hot_classes_of_fingerprints(spark, monkeypatch):
+    texts = ["the same words again and again"] * 9 + [f"other words {i * 7919} that {i * 104729} differ {i}" for i in range(6)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == plain and len(plain) == len(texts)
