@@ -11,21 +11,26 @@ hold are repeated; pages with equal streams count as one, so copies of a page
 are not each other's boilerplate.  Where a page has a main element, that is its
 main text, whole: pages share passages of their articles too.  Where it has
 none, its blocks elsewhere are, less the tokens that repeated runs cover; unique
-runs stay.  A host with many pages is dealt out in shards; what a host repeats,
-it repeats in each.
+runs stay.
+
+A host with many pages is dealt out in shards, and its runs, as hashes, in as
+many buckets.  Each bucket counts its runs' streams over the whole host and tells
+the shards which of theirs are repeated, so shards change no result.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import grams, mix
 from .urls import host_and_path
 
 #: Tokens of a run, different streams that hold it, pages of a shard, and the share of pages above which a host's shards are sent to all tasks.
@@ -144,8 +149,56 @@ def _ranks(token: np.ndarray, page_end: np.ndarray) -> np.ndarray:
     return np.where(np.arange(len(token)) + RUN <= page_end, rank, -1)
 
 
-def repeated(pages: list[tuple[list[str], list[int]]]) -> list[list[np.ndarray]]:
-    """Of each block of each page, which tokens go."""
+_U = np.uint64
+
+
+def _stream(texts: list[str], places: list[int]) -> int:
+    """A hash of a page's blocks and their places; never negative."""
+    return xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "replace") + b"\n" + bytes(places)) >> 1
+
+
+def _hashes(token: list[int]) -> np.ndarray:
+    """A hash of 56 bits of each run, by its first token."""
+    return mix(grams(np.array(token, _U), RUN)) >> _U(8)
+
+
+def _token(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+
+
+def _packed(sorted_values: np.ndarray) -> bytes:
+    """Steps between values, byte by byte of their places: what is zero compresses."""
+    steps = np.diff(sorted_values.astype(_U), prepend=_U(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(_U).ravel(), dtype=_U)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _covered(held: np.ndarray, least: int) -> np.ndarray:
+    """Which tokens are in a run that so many streams hold."""
+    often = np.flatnonzero(held >= least)
+    edge = np.zeros(len(held) + 1, np.int64)
+    np.add.at(edge, often, 1)
+    np.add.at(edge, np.minimum(often + RUN, len(held)), -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def repeated(pages: list[tuple[list[str], list[int]]], known: tuple[int, np.ndarray, np.ndarray] | None = None) -> list[list[np.ndarray]]:
+    """Of each block of each page, which tokens go.
+
+    known: of the host that these are some pages of, the number of streams, and
+    hashes of repeated runs, sorted, with the number of streams that hold each.
+    """
     streams: dict[tuple, int] = {}
     first = [streams.setdefault((tuple(t), tuple(p)), len(streams)) for t, p in pages]
     distinct = list(streams)
@@ -155,27 +208,35 @@ def repeated(pages: list[tuple[list[str], list[int]]]) -> list[list[np.ndarray]]
     token = np.array([number.setdefault(x, len(number)) for w in words for b in w for x in b], np.int64)
     place = np.repeat(np.array([p for _, ps in distinct for p in ps], np.int64), [len(b) for w in words for b in w]) if len(token) else np.empty(0, np.int64)
     gone = np.zeros(len(token), bool)
-    if len(token) > RUN:
+    if len(token) >= RUN:
         of = np.repeat(np.arange(len(distinct)), size)
-        rank = _ranks(token, np.cumsum(size)[of])
-        own = np.flatnonzero(rank >= 0)
-        # each run once for each page that holds it
-        run = np.unique(rank[own] * len(distinct) + of[own]) // len(distinct)
-        often = own[(np.bincount(run, minlength=len(token)) >= PAGES)[rank[own]]]
-        edge = np.zeros(len(token) + 1, np.int64)
-        np.add.at(edge, often, 1)
-        np.add.at(edge, often + RUN, -1)
-        gone = (np.cumsum(edge)[:-1] > 0) & (place == ELSEWHERE)
+        held = np.zeros(len(token), np.int64)
+        if known is None:
+            n_streams = len(distinct)
+            rank = _ranks(token, np.cumsum(size)[of])
+            own = np.flatnonzero(rank >= 0)
+            # each run once for each page that holds it
+            run = np.unique(rank[own] * len(distinct) + of[own]) // len(distinct)
+            held[own] = np.bincount(run, minlength=len(token))[rank[own]]
+        elif len(known[1]):
+            n_streams, runs, counts = known
+            whole = np.flatnonzero(np.arange(len(token)) + RUN <= np.cumsum(size)[of])
+            h = _hashes(np.array([_token(x) for x in number], _U)[token])[whole]
+            at = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
+            held[whole] = np.where(runs[at] == h, counts[at], 0)
+        else:
+            n_streams = known[0]
+        gone = _covered(held, PAGES) & (place == ELSEWHERE)
     cut = np.cumsum([len(b) for w in words for b in w])[:-1] if len(token) else []
     parts = np.split(gone, cut) if len(token) else []
     starts = np.concatenate(([0], np.cumsum([len(w) for w in words])))
     return [parts[starts[k] : starts[k + 1]] for k in first]
 
 
-def main_texts(pages: list[tuple[list[str], list[int]]]) -> list[str]:
+def main_texts(pages: list[tuple[list[str], list[int]]], known: tuple[int, np.ndarray, np.ndarray] | None = None) -> list[str]:
     """The main text of each of one host's pages, given their blocks and places."""
     out = []
-    for (texts, places), gone in zip(pages, repeated(pages), strict=True):
+    for (texts, places), gone in zip(pages, repeated(pages, known), strict=True):
         wanted = MAIN if MAIN in places else ELSEWHERE
         kept = []
         for text, place, g in zip(texts, places, gone, strict=True):
@@ -185,6 +246,62 @@ def main_texts(pages: list[tuple[list[str], list[int]]]) -> list[str]:
     return out
 
 
+_RUNS = "host string, shards int, bucket long, streams binary, runs binary, holder binary, own binary"
+
+
+def _runs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of large hosts' streams, by bucket: hashes, sorted, and which of the streams holds each; the streams that a bucket counts."""
+    for batch in batches:
+        hosts: dict[tuple[str, int], dict[int, np.ndarray]] = {}
+        tokens: dict[str, int] = {}
+        for host, shards, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            texts, places = blocks(page)
+            held = hosts.setdefault((host, shards), {})
+            if (stream := _stream(texts, places)) not in held:
+                words = [x for t in texts for x in t.split()]
+                for x in words:
+                    if x not in tokens:
+                        tokens[x] = _token(x)
+                held[stream] = np.unique(_hashes([tokens[x] for x in words]))
+        for (host, shards), held in hosts.items():
+            streams = np.array(list(held), np.int64)
+            runs = np.concatenate(list(held.values()))
+            holder = np.repeat(np.arange(len(streams)), [len(r) for r in held.values()])
+            bucket = (runs % _U(shards)).astype(np.int64)
+            order = np.lexsort((runs, bucket))
+            edge = np.searchsorted(bucket[order], np.arange(shards + 1))
+            for k in range(shards):
+                part = order[edge[k] : edge[k + 1]]
+                own = streams[streams % shards == k]
+                if len(part) or len(own):
+                    yield pa.RecordBatch.from_pydict({"host": [host], "shards": pa.array([shards], pa.int32()), "bucket": [k], "streams": [streams.tobytes()], "runs": [_packed(runs[part])], "holder": [_planes(holder[part])], "own": [own.tobytes()]})
+
+
+_FOUND = "host string, shard long, n_streams long, runs binary, counts binary"
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """One bucket's runs that PAGES streams of the host hold, for each shard that has such a stream; to each shard, how many streams this bucket counts."""
+    host, shards = table.column("host")[0].as_py(), table.column("shards")[0].as_py()
+    rows = table.select(["streams", "runs", "holder", "own"]).to_pylist()
+    own = len(np.unique(np.concatenate([np.frombuffer(r["own"], np.int64) for r in rows])))
+    run = np.concatenate([_unpacked(r["runs"]) for r in rows])
+    stream = np.concatenate([np.frombuffer(r["streams"], np.int64)[_from_planes(r["holder"])] for r in rows])
+    order = np.lexsort((stream, run))
+    run, stream = run[order], stream[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (stream[1:] != stream[:-1])
+    run, stream = run[new], stream[new]
+    _, at, counts = np.unique(run, return_inverse=True, return_counts=True)
+    often = counts[at] >= PAGES
+    run, shard, n = run[often], stream[often] % shards, counts[at][often]
+    out = []
+    for k in range(shards):
+        mine, first = np.unique(run[shard == k], return_index=True)
+        out.append({"host": host, "shard": k, "n_streams": own, "runs": _packed(mine), "counts": _planes(n[shard == k][first])})
+    return pa.Table.from_pylist(out, pa.schema([("host", pa.string()), ("shard", pa.int64()), ("n_streams", pa.int64()), ("runs", pa.binary()), ("counts", pa.binary())]))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages, from whole pages.
 
@@ -195,7 +312,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     not looked at.
     """
     url = F.col(url_col).cast("string")
-    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host_and_path(url)[0].alias("host"))
+    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), F.coalesce(host_and_path(url)[0], F.lit("")).alias("host"))
     counts = rows.groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     large = counts.where(F.col("n") > SHARD).select("host", "n", F.expr(f"cast(n div {SHARD} + 1 AS int)").alias("shards"))
@@ -205,21 +322,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     if bound > SHARD:
         between = large.where(F.col("n") <= bound).select("host", F.col("shards").alias("more"))
         dealt = dealt.join(between, "host", "left").withColumn("shards", F.coalesce("shards", "more")).drop("more")
-    dealt = dealt.withColumn("shard", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), "shards"), F.lit(0)))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("html")
             found = [blocks(h) for h in batch.column(at).to_pylist()]
-            kept = [batch.column(k) for k in range(batch.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], [*[x for x in batch.schema.names if x != "html"], "texts", "places"])
+            # equal streams are in one shard
+            shard = [_stream(*f) % n if n else 0 for f, n in zip(found, batch.column(batch.schema.get_field_index("shards")).to_pylist(), strict=True)]
+            kept = [x for x in batch.schema.names if x not in ("html", "shards")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in kept], pa.array(shard, pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], [*kept, "shard", "texts", "places"])
 
     kind = dict(rows.dtypes)["page_id"]
-    parsed = dealt.select("page_id", "url", "host", "shard", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, shard long, texts array<string>, places array<int>")
+    parsed = dealt.select("page_id", "url", "host", "shards", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, shard long, texts array<string>, places array<int>")
 
-    def clean(table: pa.Table) -> pa.Table:
-        texts = main_texts(list(zip(table.column("texts").to_pylist(), table.column("places").to_pylist(), strict=True)))
+    def clean(table: pa.Table, found: pa.Table) -> pa.Table:
+        known = None
+        if found.num_rows:
+            runs = np.concatenate([_unpacked(x) for x in found.column("runs").to_pylist()])
+            counts = np.concatenate([_from_planes(x) for x in found.column("counts").to_pylist()]).astype(np.int64)
+            order = np.argsort(runs)
+            known = sum(found.column("n_streams").to_pylist()), runs[order], counts[order]
+        texts = main_texts(list(zip(table.column("texts").to_pylist(), table.column("places").to_pylist(), strict=True)), known)
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
 
-    cleaned = parsed.groupBy("host", "shard").applyInArrow(clean, f"page_id {kind}, url string, text string")
+    found = dealt.where("shards IS NOT NULL").select("host", "shards", "html").mapInArrow(_runs_of, _RUNS).groupBy("host", "bucket").applyInArrow(_counted, _FOUND)
+    cleaned = parsed.groupBy("host", "shard").cogroup(found.groupBy("host", "shard")).applyInArrow(clean, f"page_id {kind}, url string, text string")
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))

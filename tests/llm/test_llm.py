@@ -291,3 +291,14 @@ def test_hot_classes_of_fingerprints(spark, monkeypatch):
     plain = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
     monkeypatch.setattr(simhash, "HOT_ROWS", 3)
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == plain and len(plain) == len(texts)
+
+
+def test_shards_of_a_host_change_no_text(spark, monkeypatch):
+    rnd = random.Random(8)
+    passages = [prose(12, 500 + k) for k in range(12)]  # each on some pages only
+    rows = [(i, "http://h.org/" + str(i), "".join(f"<div>{p}</div>" for p in rnd.sample(passages, 2)) + f"<p>{prose(20, 900 + i % 50)}</p>") for i in range(60)]
+    pages = spark.createDataFrame([*rows, rows[0], (99, None, None)], "page_id long, url string, html string")
+    whole = sorted(map(str, html.extract(pages).collect()))
+    monkeypatch.setattr(html, "SHARD", 5)
+    assert sorted(map(str, html.extract(pages).collect())) == whole
+    assert all(sum(p in r for p in passages) == 0 for r in whole)
