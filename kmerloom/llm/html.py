@@ -9,7 +9,8 @@ sorted by their first RUN tokens by prefix doubling, which is as deep as finding
 every substring of RUN or more tokens takes.  Those that PAGES different streams
 hold are repeated; pages with equal streams count as one, so copies of a page
 are not each other's boilerplate.  Where a page has a main element, that is its
-main text, whole: pages share passages of their articles too.  Where it has
+main text, less the tokens of runs that half the host's streams hold: pages
+share passages of their articles, but never so many of a host do.  Where it has
 none, its blocks elsewhere are, less the tokens that repeated runs cover; unique
 runs stay.
 
@@ -35,6 +36,8 @@ from .urls import host_and_path
 
 #: Tokens of a run, different streams that hold it, pages of a shard, and the share of pages above which a host's shards are sent to all tasks.
 RUN, PAGES, SHARD, HOT_SHARE = 8, 3, 2000, 100_000
+#: In main elements, a run goes if one in so many of the host's streams holds it.
+MAIN_SHARE = 2
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -226,7 +229,7 @@ def repeated(pages: list[tuple[list[str], list[int]]], known: tuple[int, np.ndar
             held[whole] = np.where(runs[at] == h, counts[at], 0)
         else:
             n_streams = known[0]
-        gone = _covered(held, PAGES) & (place == ELSEWHERE)
+        gone = (_covered(held, PAGES) & (place == ELSEWHERE)) | (_covered(held, max(PAGES, -(-n_streams // MAIN_SHARE))) & (place == MAIN))
     cut = np.cumsum([len(b) for w in words for b in w])[:-1] if len(token) else []
     parts = np.split(gone, cut) if len(token) else []
     starts = np.concatenate(([0], np.cumsum([len(w) for w in words])))

@@ -302,3 +302,13 @@ def test_shards_of_a_host_change_no_text(spark, monkeypatch):
     monkeypatch.setattr(html, "SHARD", 5)
     assert sorted(map(str, html.extract(pages).collect())) == whole
     assert all(sum(p in r for p in passages) == 0 for r in whole)
+
+
+def test_runs_that_half_a_host_repeats_leave_main_elements(spark, monkeypatch):
+    notice, passage = prose(12, 700), prose(12, 701)
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{notice}</p><p>{prose(20, 710 + i)}</p>" + (f"<p>{passage}</p>" if i < 5 else "") + "</article>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (2000, 6):
+        monkeypatch.setattr(html, "SHARD", shard)
+        got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+        assert got == {i: prose(20, 710 + i) + (" " + passage if i < 5 else "") for i in range(20)}
