@@ -54,27 +54,40 @@ _NAMES = {
     "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "pager", "paywall", "popup", "promo", "promoted", "recommended", "related", "responses", "share", "sharing",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
+#: Words in a name that say how a page is laid out, or what state it is in, not what an element holds.
+_LAYOUT = {"has", "with", "without", "no", "is", "not", "open", "opened", "closed", "active", "enabled", "disabled", "show", "hide", "fixed", "sticky", "left", "right", "layout", "page", "body", "content", "main", "site", "wrap", "wrapper", "container", "inner", "outer"}
 OUT, ELSEWHERE, MAIN = 0, 1, 2
+#: Boilerplate by its name, in which a main element still counts; by a part of a name, or a form, in which an article does too.
+NAMED, LOOSE, FORM = -1, -2, -3
 
 
-def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
+def _kind(tag: str, attributes: str, in_main: bool) -> int:
+    """OUT, NAMED, LOOSE or FORM for boilerplate, else ELSEWHERE."""
+    if tag == "form":
+        return FORM
     if tag in _SKIP or (tag == "header" and not in_main):
-        return True
-    if tag in ("body", "html", "article", "main") or not attributes.strip():
-        known = {}
-    else:
-        known = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
-    if tag in ("article", "main") and attributes.strip():  # a comment may be an article
-        known = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
-        return bool({"comment", "comments", "response", "responses"} & {*re.split(r"[^a-z0-9]+", known.get("class", "") + " " + known.get("id", ""))})
+        return OUT
+    if tag in ("body", "html") or not attributes.strip():
+        return ELSEWHERE
+    known = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
+    whole = {*(known.get("class", "") + " " + known.get("id", "")).split()}
+    parts = {x for name in whole for x in re.split(r"[^a-z0-9]+", name)}
+    if tag in ("article", "main"):  # a comment may be an article
+        return OUT if {"comment", "comments", "response", "responses"} & parts else ELSEWHERE
     if "hidden" in known or known.get("aria-hidden") == "true" or known.get("role") in _ROLES:
-        return True
-    names = {*re.split(r"[^a-z0-9]+", known.get("class", "") + " " + known.get("id", ""))}
-    return bool(names & _NAMES) or (not in_main and "header" in names)
+        return OUT
+    if whole & _NAMES or (not in_main and "header" in whole):
+        return NAMED
+    if any(words & _NAMES and not words & _LAYOUT for words in ({*re.split(r"[^a-z0-9]+", name)} for name in whole)):
+        return LOOSE
+    return ELSEWHERE
 
 
 def blocks(page: str | None) -> tuple[list[str], list[int]]:
-    """The blocks of a page and their places; white space in a block is one space."""
+    """The blocks of a page and their places; white space in a block is one space.
+
+    Forms, and then what is loosely boilerplate, are not, where they hold more text than the rest of the page that may be main.
+    """
     if not page:
         return [], []
     texts: list[str] = []
@@ -121,10 +134,12 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
                 place = stack[-1][1] if stack else ELSEWHERE
         inner = place
         if place != OUT:
-            if _is_boilerplate(tag, m[3], place == MAIN):
-                inner = OUT
-            elif tag in ("article", "main") or ("role" in m[3] and re.search(r"""role\s*=\s*["']?main\b""", m[3], re.I)):
+            kind = _kind(tag, m[3], place == MAIN)
+            is_main = tag == "main" or ("role" in m[3] and re.search(r"""role\s*=\s*["']?main\b""", m[3], re.I))
+            if is_main and kind != OUT or tag == "article" and kind == ELSEWHERE and place != NAMED:
                 inner = MAIN
+            elif kind != ELSEWHERE:
+                inner = kind if place > 0 else max(place, kind)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -135,7 +150,10 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
             stack.append((tag, inner))
             place = inner
     close()
-    return texts, places
+    for kind in (FORM, LOOSE):
+        if kind in places and sum(len(t) * ((p == kind) - (p > 0)) for t, p in zip(texts, places, strict=True)) > 0:
+            places = [ELSEWHERE if p == kind else p for p in places]
+    return texts, [max(p, OUT) for p in places]
 
 
 def _ranks(token: np.ndarray, page_end: np.ndarray) -> np.ndarray:

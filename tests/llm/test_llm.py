@@ -312,3 +312,13 @@ def test_runs_that_half_a_host_repeats_leave_main_elements(spark, monkeypatch):
         monkeypatch.setattr(html, "SHARD", shard)
         got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
         assert got == {i: prose(20, 710 + i) + (" " + passage if i < 5 else "") for i in range(20)}
+
+
+@pytest.mark.parametrize("wrapper", ["div class='page has-sidebar'", "div class='layout-with-sidebar'", "div id=no-comments", "div class=menu-open", "form action=x.aspx"])
+def test_wrappers_keep_their_articles(wrapper):
+    tag = wrapper.split()[0]
+    for element in ("article", "main", "div"):
+        page = f"<body><nav>menu</nav><{wrapper}><{element}><p>the text of it</p><div class=share>share</div></{element}><div class=sidebar><article>teaser</article></div></{tag}><div class='related-posts'>more</div></body>"
+        assert html.main_texts([html.blocks(page)]) == ["the text of it"], (wrapper, element)
+    comments = "<body><div>the text of it</div><div class=comments><article>a reply that is longer than all of the text</article></div><form>search</form></body>"
+    assert html.main_texts([html.blocks(comments)]) == ["the text of it"]
