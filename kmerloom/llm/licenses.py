@@ -1,11 +1,9 @@
 """License scans: ordered signature rules over words, in DataFrame functions only.
 
 Each text becomes its lower-cased words with one space between and around them,
-so rules are regular expressions over words.  A rule has a keyword; it is tried
-only where the text holds it, and none is tried where the text holds none of the
-ROOTS: a name alone, without a word of licensing near it, is no signature.  A
-detection within another of higher priority, or of
-the same and longer, is suppressed.
+so rules are regular expressions over words.  A rule has a keyword, which all its
+matches contain; it is tried only where the text holds it.  A detection within
+another of higher priority, or of the same and longer, is suppressed.
 
 The rules are made from names of licenses and from the ways they are referred to,
 in order: the wider a phrase, the higher its priority.
@@ -35,7 +33,7 @@ NAMES = [
     ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "bsd"),
     ("bsd", "bsd(?: style)? licen[cs]e", "bsd"),
     ("mit", "(?:mit|expat|x11)(?: style)? licen[cs]e", "licen"),
-    ("isc", "isc licen[cs]e", "isc"),
+    ("isc", "isc licen[cs]e", "isc licen"),
     ("mpl-2.0", "mozilla public licen[cs]e(?: version)? 2(?: 0)?", "mozilla"),
     ("mpl-1.1", "mozilla public licen[cs]e(?: version)? 1 1", "mozilla"),
     ("epl-2.0", "eclipse public licen[cs]e(?: version)? 2(?: 0)?", "eclipse"),
@@ -44,7 +42,8 @@ NAMES = [
     ("artistic-2.0", "artistic licen[cs]e(?: version)? 2(?: 0)?", "artistic"),
     ("zlib", "zlib(?: libpng)? licen[cs]e", "zlib"),
     ("unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "(?:wtfpl|do what the f\\\\w+ you want to public licen[cs]e)", "licen"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("wtfpl", "do what the f\\\\w+ you want to public licen[cs]e", "do what the"),
     ("boost-1.0", "boost software licen[cs]e(?: version)?(?: 1(?: 0)?)?", "boost"),
     ("ofl-1.1", "(?:sil )?open font licen[cs]e(?: version)?(?: 1 1)?", "open font"),
     ("gfdl", "(?:gnu )?free documentation licen[cs]e(?: version)?(?: 1 [1-3])?", "free documentation"),
@@ -54,7 +53,9 @@ NAMES = [
     ("openssl", "openssl licen[cs]e", "openssl"),
     ("eupl-1.2", "european union public licen[cs]e(?: version)?(?: 1 [0-2])?", "european union"),
     ("ms-pl", "microsoft public licen[cs]e", "microsoft"),
-    ("cc0-1.0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc"),
+    ("cc0-1.0", "cc0(?: 1 0)?(?: universal)?", "cc0"),
+    ("cc0-1.0", "cc zero(?: 1 0)?(?: universal)?", "cc zero"),
+    ("cc0-1.0", "creative commons zero(?: 1 0)?(?: universal)?", "creative commons"),
 ]
 #: Creative Commons, by its parts.
 PARTS = [("by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"), ("by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"), ("by-nc", "by nc", "attribution non ?commercial"), ("by-nd", "by nd", "attribution no ?deriv(?:ative)?s"), ("by-sa", "by sa", "attribution share ?alike"), ("by", "by", "attribution")]
@@ -82,8 +83,6 @@ OTHERS = [
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use", 9, 1.0),
     ("copyright", "copyright(?: c)? [0-9]{4}(?: [0-9]{4})?", "copyright", 2, 0.4),
 ]
-#: One of these is in every keyword's text.
-ROOTS = ["licen", "general public", "rights reserved", "copyright", "public domain", "permission", "proprietary", "redistribution", "reproduction", "creative commons", " cc", "under ", "by the", "subject to", "governed by"]
 
 
 @cache
@@ -136,7 +135,7 @@ def scans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     and base phrases (which have theirs), 0 without any.  A null text is empty.
     """
     literal = _RULES.format(", ".join(f"named_struct('label', '{a}', 'pattern', '{b}', 'key', '{c}', 'priority', {d}, 'sure', {e}D)" for a, b, c, d, e in rules()))
-    seen = " OR ".join(f"contains(_t, '{r}')" for r in ROOTS)
+    seen = " OR ".join(f"contains(_t, '{key}')" for key in sorted({r[2] for r in rules()}))
     found = f"transform(array({literal}), rules -> {_FOUND})[0]"
     empty = "cast(array() AS array<struct<first: int, last: int, priority: int, label: string, sure: double>>)"
     rows = docs.withColumn("_t", _words(F.col(text_col)))

@@ -322,3 +322,15 @@ def test_wrappers_keep_their_articles(wrapper):
         assert html.main_texts([html.blocks(page)]) == ["the text of it"], (wrapper, element)
     comments = "<body><div>the text of it</div><div class=comments><article>a reply that is longer than all of the text</article></div><form>search</form></body>"
     assert html.main_texts([html.blocks(comments)]) == ["the text of it"]
+
+
+def test_keywords_of_licenses_lose_no_match(spark, monkeypatch):
+    texts = ["See the Apache 2.0 file for details", "Code: 3-clause BSD", "Code: 3-clause BSD, we walked under trees", "released under the WTFPL version 2", "Creative Commons Zero 1.0 Universal", "CC0", "cc zero 1.0", "an accident of discovery, under trees", "ISC licence", None]
+    for before, _, _, _ in licenses.WAYS:
+        texts += [re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", before).replace("[cs]", "c") + name for name in ("mozilla public license 2.0", "zlib license", "the unlicense", "do what the fox you want to public license", "creative commons attribution", "cc by sa 4.0", "freebsd", "postgresql license")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, licenses.license_report(docs).collect()))
+    assert [r[6] for r in got[:8]] == ["apache-2.0", "bsd-3-clause", "bsd-3-clause", "wtfpl", "cc0-1.0", "cc0-1.0", "cc0-1.0", ""] and got[8][6] == "isc"
+    rules = tuple((label, pattern, " ", priority, sure) for label, pattern, _, priority, sure in licenses.rules())
+    monkeypatch.setattr(licenses, "rules", lambda: rules)
+    assert sorted(map(tuple, licenses.license_report(docs).collect())) == got
