@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from kmerloom.llm import queries as q
 from kmerloom.llm.decontaminate import decontaminated
 from kmerloom.llm.mixing import mixed
+from kmerloom.llm.resemblance import one_of_each
 from kmerloom.llm.shared import written
-from kmerloom.llm.simhash import near_duplicates
 from kmerloom.llm.tokens import token_files
 from kmerloom.llm.toxicity import THRESHOLD, fit_labels, scored
 
@@ -37,13 +37,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, and one row of it.
-
-    Rows without a doc_id are in no group with a name, and stay.
-    """
-    groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """One row of each group of near-duplicates, five-word shingles at similarity 0.8 or more: the one with the smallest doc_id."""
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

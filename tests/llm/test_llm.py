@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kmerloom.llm import decontaminate, html, licenses, mixing, ordermin, simhash, substrings, tokens, toxicity, urls
+from kmerloom.llm import decontaminate, html, licenses, mixing, ordermin, resemblance, simhash, substrings, tokens, toxicity, urls
 from kmerloom.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, start long, `_hash` string, score double, fp long, part int, host string, kept string, labels string"
@@ -334,3 +334,29 @@ def test_keywords_of_licenses_lose_no_match(spark, monkeypatch):
     rules = tuple((label, pattern, " ", priority, sure) for label, pattern, _, priority, sure in licenses.rules())
     monkeypatch.setattr(licenses, "rules", lambda: rules)
     assert sorted(map(tuple, licenses.license_report(docs).collect())) == got
+
+
+def test_one_of_each_group_of_like_texts(spark):
+    rnd = random.Random(5)
+    texts = []
+    for k in range(12):  # each a chain of changes, some of few words
+        words = prose(20 + 15 * k, 1000 + k).split()
+        for _ in range(9):
+            texts.append(" ".join(words))
+            words[rnd.randrange(len(words))] = f"x{rnd.random()}"
+    ids = [*range(len(texts) - 6), 3, 3, 9, None, None, None]  # not unique
+    rows = [*zip(ids, texts, strict=True), (500, ""), (501, None), (502, "One two"), (503, "one  TWO"), (7, texts[7]), (None, texts[0])]
+    got = resemblance.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]) and label[i] != label[j]:
+                label = [label[j] if k == label[i] else k for k in label]
+    want = Counter(min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if label[i] == k) for k in set(label))
+    assert 12 < len(want) and Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == want
