@@ -360,3 +360,12 @@ def test_one_of_each_group_of_like_texts(spark):
                 label = [label[j] if k == label[i] else k for k in label]
     want = Counter(min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if label[i] == k) for k in set(label))
     assert 12 < len(want) and Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == want
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = prose(150, 1).split()
+    near = " ".join(words[:70] + ["changed"] + words[71:])
+    rows = [(1, prose(60, 30), "a"), (1, prose(60, 31), "a"), (2, " ".join(words), "a"), (56, near, "a"), (None, near, "a")]
+    got = pipeline.near_dedup(spark, table(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((i, t) for i, t, _ in rows[:3])
