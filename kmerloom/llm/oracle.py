@@ -16,9 +16,10 @@ FROM hit JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_shingles
 """
 
 OP1 = """
-WITH RECURSIVE r AS (SELECT source, CAST(floor(sqrt(count(*))) AS BIGINT) AS r FROM documents GROUP BY source),
-w AS (SELECT source, greatest(1, (r * 1000) // (SELECT CAST(sum(r) AS BIGINT) FROM r)) AS s, row_number() OVER (ORDER BY source) AS i FROM r),
-a AS (SELECT list(s ORDER BY i) AS s, CAST(sum(s) AS BIGINT) AS q FROM w),
+WITH RECURSIVE w AS (SELECT source, CAST(floor(sqrt(count(*))) AS BIGINT) AS w, row_number() OVER (ORDER BY source) AS i FROM documents GROUP BY source),
+g AS (SELECT max(d) AS d FROM (SELECT unnest(generate_series(1, (SELECT min(w) FROM w))) AS d) WHERE (SELECT bool_and(w % d = 0) FROM w)),
+v AS (SELECT source, w // (SELECT d FROM g) AS s, i FROM w),
+a AS (SELECT list(s ORDER BY i) AS s, CAST(sum(s) AS BIGINT) AS q FROM v),
 e AS (
   SELECT CAST(-1 AS BIGINT) AS t, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS c, CAST(0 AS BIGINT) AS p FROM a
   UNION ALL
@@ -27,7 +28,7 @@ e AS (
     SELECT t, c, q, list_min(list_filter(list_transform(c, lambda v, i: CASE WHEN (v * q) // s[i] <= t + 1
       THEN {'due': ((v + 1) * q + s[i] - 1) // s[i], 'i': i} END), lambda z: z IS NOT NULL)).i AS pick
     FROM e, a WHERE t + 1 < q)),
-slots AS (SELECT w.source, w.s, t AS slot, row_number() OVER (PARTITION BY w.source ORDER BY t) - 1 AS k FROM e JOIN w ON w.i = e.p WHERE t >= 0),
+slots AS (SELECT w.source, w.s, t AS slot, row_number() OVER (PARTITION BY w.source ORDER BY t) - 1 AS k FROM e JOIN v w ON w.i = e.p WHERE t >= 0),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents)
 SELECT doc_id, d.source, rank // 16 AS block, CAST(rank % 16 AS INTEGER) AS place, ((rank // 16) // slots.s) * (SELECT q FROM a) + slot AS slot
 FROM d JOIN slots ON slots.source = d.source AND slots.k = (rank // 16) % slots.s
