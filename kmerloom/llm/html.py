@@ -4,19 +4,23 @@ A page becomes blocks of text in page order.  Each has a place: in boilerplate
 elements (menus, footers, adverts, forms, comments and so on, by tag, role or
 class), in the main element (article or main), or elsewhere.
 
-The token streams of a host's pages are laid end to end, and their suffixes
-sorted by their first RUN tokens by prefix doubling, which is as deep as finding
-every substring of RUN or more tokens takes.  Those that PAGES different streams
-hold are repeated; pages with equal streams count as one, so copies of a page
-are not each other's boilerplate.  Where a page has a main element, that is its
-main text, less the tokens of runs that half the host's streams hold: pages
-share passages of their articles, but never so many of a host do.  Where it has
-none, its blocks elsewhere are, less the tokens that repeated runs cover; unique
-runs stay.
-
-A host with many pages is dealt out in shards, and its runs, as hashes, in as
-many buckets.  Each bucket counts its runs' streams over the whole host and tells
-the shards which of theirs are repeated, so shards change no result.
+The token streams of a host's pages are laid end to end in a suffix array, whose
+suffixes are sorted by prefix doubling up to their first RUN tokens: neighbours
+that agree so far are an interval, and what lies below an interval is a substring
+of RUN tokens.  A longer substring that repeats is where such ones overlap, so no
+greater depth is needed to know which tokens repeated substrings cover.  Those
+that PAGES different streams hold are repeated; pages with equal streams count as
+one, so copies of a page are not each other's boilerplate.  Where a page has a
+main element, that is its main text, less the tokens of substrings that half the
+host's streams hold: pages share passages of their articles, but never so many of
+a host do.  Where it has none, its blocks elsewhere are, less the tokens that
+repeated substrings cover; unique runs stay.
+
+Pages travel to their host packed, many to a message, those of small hosts
+together.  A host with many pages is dealt out in shards, and its substrings of
+RUN tokens, as hashes, in as many buckets.  Each bucket counts its substrings'
+streams over the whole host and tells the shards which of theirs are repeated, so
+shards change no result.
 """
 
 from __future__ import annotations
@@ -39,7 +43,9 @@ RUN, PAGES, SHARD, HOT_SHARE = 8, 3, 2000, 100_000
 #: In main elements, a run goes if one in so many of the host's streams holds it.
 MAIN_SHARE = 2
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, so that nothing within a name or a value is taken for an attribute.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TOLD = re.compile("class|id|role|hidden", re.I)
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SKIP = {"head", "nav", "footer", "aside", "form", "button", "select", "script", "style", "noscript", "template", "svg", "iframe", "dialog", "menu", "textarea", "title", "object", "canvas", "math", "noembed", "noframes", "xmp"}
@@ -48,6 +54,7 @@ _BLOCK = {
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "head", "option", "select", "button", "title", "script", "style",
 }
 _ENDS_P = _BLOCK - {"br", "script", "style", "title"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 _NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead",
@@ -61,21 +68,32 @@ OUT, ELSEWHERE, MAIN = 0, 1, 2
 NAMED, LOOSE, FORM = -1, -2, -3
 
 
-def _kind(tag: str, attributes: str, in_main: bool) -> int:
-    """OUT, NAMED, LOOSE or FORM for boilerplate, else ELSEWHERE."""
+def _attributes(attributes: str) -> dict[str, str]:
+    """The attributes of a tag; of two of one name the first counts."""
+    if not _TOLD.search(attributes):
+        return {}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _kind(tag: str, known: dict[str, str], in_main: bool) -> int:
+    """OUT, NAMED, LOOSE or FORM for boilerplate, else ELSEWHERE; known: the tag's attributes."""
     if tag == "form":
         return FORM
     if tag in _SKIP or (tag == "header" and not in_main):
         return OUT
-    if tag in ("body", "html") or not attributes.strip():
+    if tag in ("body", "html") or not known:
         return ELSEWHERE
-    known = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
-    whole = {*(known.get("class", "") + " " + known.get("id", "")).split()}
+    whole = {*(known.get("class", "") + " " + known.get("id", "")).lower().split()}
     parts = {x for name in whole for x in re.split(r"[^a-z0-9]+", name)}
-    if tag in ("article", "main"):  # a comment may be an article
-        return OUT if {"comment", "comments", "response", "responses"} & parts else ELSEWHERE
-    if "hidden" in known or known.get("aria-hidden") == "true" or known.get("role") in _ROLES:
+    if tag in ("article", "main"):  # a comment or an advert may be an article
+        return OUT if {"comment", "comments", "response", "responses"} & parts or (tag == "article" and whole & _NAMES) else ELSEWHERE
+    if "hidden" in known or known.get("aria-hidden", "").lower() == "true" or known.get("role", "").lower() in _ROLES:
         return OUT
+    if tag in _HEADINGS:  # named after what they head
+        return ELSEWHERE
     if whole & _NAMES or (not in_main and "header" in whole):
         return NAMED
     if any(words & _NAMES and not words & _LAYOUT for words in ({*re.split(r"[^a-z0-9]+", name)} for name in whole)):
@@ -134,8 +152,9 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
                 place = stack[-1][1] if stack else ELSEWHERE
         inner = place
         if place != OUT:
-            kind = _kind(tag, m[3], place == MAIN)
-            is_main = tag == "main" or ("role" in m[3] and re.search(r"""role\s*=\s*["']?main\b""", m[3], re.I))
+            known = _attributes(m[3])
+            kind = _kind(tag, known, place == MAIN)
+            is_main = tag == "main" or known.get("role", "").lower() == "main"
             if is_main and kind != OUT or tag == "article" and kind == ELSEWHERE and place != NAMED:
                 inner = MAIN
             elif kind != ELSEWHERE:
@@ -156,8 +175,8 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
     return texts, [max(p, OUT) for p in places]
 
 
-def _ranks(token: np.ndarray, page_end: np.ndarray) -> np.ndarray:
-    """The rank of each suffix among all by its first RUN tokens; -1 where its page ends before."""
+def suffix_array(token: np.ndarray, page_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that have RUN tokens before their page's end, sorted by these, and where intervals of equal ones begin."""
     rank = np.unique(token, return_inverse=True)[1].astype(np.int64)
     width = 1
     while width < RUN:
@@ -167,7 +186,11 @@ def _ranks(token: np.ndarray, page_end: np.ndarray) -> np.ndarray:
         pair = rank * (len(rank) + 1) + follow + 1
         rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
         width += step
-    return np.where(np.arange(len(token)) + RUN <= page_end, rank, -1)
+    whole = np.flatnonzero(np.arange(len(token)) + RUN <= page_end)
+    order = whole[np.argsort(rank[whole], kind="stable")]
+    new = np.ones(len(order), bool)
+    new[1:] = rank[order[1:]] != rank[order[:-1]]
+    return order, np.flatnonzero(new)
 
 
 _U = np.uint64
@@ -234,11 +257,13 @@ def repeated(pages: list[tuple[list[str], list[int]]], known: tuple[int, np.ndar
         held = np.zeros(len(token), np.int64)
         if known is None:
             n_streams = len(distinct)
-            rank = _ranks(token, np.cumsum(size)[of])
-            own = np.flatnonzero(rank >= 0)
-            # each run once for each page that holds it
-            run = np.unique(rank[own] * len(distinct) + of[own]) // len(distinct)
-            held[own] = np.bincount(run, minlength=len(token))[rank[own]]
+            order, begins = suffix_array(token, np.cumsum(size)[of])
+            # an interval is in the order of places, so a page's suffixes stand together in it
+            fresh = np.ones(len(order), np.int64)
+            fresh[1:] = of[order[1:]] != of[order[:-1]]
+            fresh[begins] = 1
+            if len(begins):
+                held[order] = np.repeat(np.add.reduceat(fresh, begins), np.diff(np.append(begins, len(order))))
         elif len(known[1]):
             n_streams, runs, counts = known
             whole = np.flatnonzero(np.arange(len(token)) + RUN <= np.cumsum(size)[of])
@@ -323,14 +348,29 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, pa.schema([("host", pa.string()), ("shard", pa.int64()), ("n_streams", pa.int64()), ("runs", pa.binary()), ("counts", pa.binary())]))
 
 
+#: Characters of pages that a task collects before it sends them.
+SEND_CHARS = 16 << 20
+
+
+def _message(rows: list[tuple], kind: pa.DataType) -> bytes:
+    """Parsed pages as a compressed stream of Arrow's."""
+    names = ["host", "page_id", "url", "texts", "places"]
+    kinds = [pa.string(), kind, pa.string(), pa.list_(pa.string()), pa.list_(pa.int8())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages, from whole pages.
 
     A null or empty page has the empty text.  Pages without a host, null URLs
     among them, are one host.  Repeated rows are pages of their own with equal
     streams.  A page cut off within a tag loses that tag.  A page that has a main
-    element has its text alone, others what is not boilerplate.  Other columns are
-    not looked at.
+    element has its text alone, others what is not boilerplate.  Without pages:
+    no rows.  Other columns are not looked at.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), F.coalesce(host_and_path(url)[0], F.lit("")).alias("host"))
@@ -343,18 +383,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     if bound > SHARD:
         between = large.where(F.col("n") <= bound).select("host", F.col("shards").alias("more"))
         dealt = dealt.join(between, "host", "left").withColumn("shards", F.coalesce("shards", "more")).drop("more")
+    # a group: some small hosts, or a shard of a large one
+    groups = total // SHARD + 1
+    dealt = dealt.withColumn("bucket", F.concat(F.lit("+"), F.pmod(F.xxhash64("host"), F.lit(groups)).cast("string")))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        size, kind = 0, pa.null()
         for batch in batches:
-            at = batch.schema.get_field_index("html")
-            found = [blocks(h) for h in batch.column(at).to_pylist()]
-            # equal streams are in one shard
-            shard = [_stream(*f) % n if n else 0 for f, n in zip(found, batch.column(batch.schema.get_field_index("shards")).to_pylist(), strict=True)]
-            kept = [x for x in batch.schema.names if x not in ("html", "shards")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in kept], pa.array(shard, pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], [*kept, "shard", "texts", "places"])
+            kind = batch.schema.field(0).type
+            for page_id, url, host, shards, bucket, page in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                texts, places = blocks(page)
+                # equal streams are in one shard
+                group = f"={_stream(texts, places) % shards} {host}" if shards else bucket
+                held.setdefault(group, []).append((host, page_id, url, texts, places))
+                size += len(page or "") + 100
+                if size > SEND_CHARS:
+                    for g, own in held.items():
+                        yield pa.RecordBatch.from_pydict({"group": [g], "pages": [_message(own, kind)]})
+                    held, size = {}, 0
+        for g, own in held.items():
+            yield pa.RecordBatch.from_pydict({"group": [g], "pages": [_message(own, kind)]})
 
     kind = dict(rows.dtypes)["page_id"]
-    parsed = dealt.select("page_id", "url", "host", "shards", "html").mapInArrow(parse, f"page_id {kind}, url string, host string, shard long, texts array<string>, places array<int>")
+    parsed = dealt.select("page_id", "url", "host", "shards", "bucket", "html").mapInArrow(parse, "group string, pages binary")
 
     def clean(table: pa.Table, found: pa.Table) -> pa.Table:
         known = None
@@ -363,9 +415,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             counts = np.concatenate([_from_planes(x) for x in found.column("counts").to_pylist()]).astype(np.int64)
             order = np.argsort(runs)
             known = sum(found.column("n_streams").to_pylist()), runs[order], counts[order]
-        texts = main_texts(list(zip(table.column("texts").to_pylist(), table.column("places").to_pylist(), strict=True)), known)
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
+        own = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("pages").to_pylist()])
+        own = own.sort_by("host")
+        hosts = own.column("host").to_pylist()
+        pairs = list(zip(own.column("texts").to_pylist(), own.column("places").to_pylist(), strict=True))
+        texts: list[str] = []
+        while len(texts) < len(hosts):
+            at = len(texts)
+            to = at + 1
+            while to < len(hosts) and hosts[to] == hosts[at]:
+                to += 1
+            texts += main_texts(pairs[at:to], known)
+        return pa.table({"page_id": own.column("page_id"), "url": own.column("url"), "text": pa.array(texts, pa.string())})
 
     found = dealt.where("shards IS NOT NULL").select("host", "shards", "html").mapInArrow(_runs_of, _RUNS).groupBy("host", "bucket").applyInArrow(_counted, _FOUND)
-    cleaned = parsed.groupBy("host", "shard").cogroup(found.groupBy("host", "shard")).applyInArrow(clean, f"page_id {kind}, url string, text string")
+    told = found.select(F.concat(F.lit("="), F.col("shard").cast("string"), F.lit(" "), F.col("host")).alias("group"), "n_streams", "runs", "counts")
+    cleaned = parsed.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(clean, f"page_id {kind}, url string, text string")
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))

@@ -369,3 +369,31 @@ def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
     rows = [(1, prose(60, 30), "a"), (1, prose(60, 31), "a"), (2, " ".join(words), "a"), (56, near, "a"), (None, near, "a")]
     got = pipeline.near_dedup(spark, table(spark, rows), "").collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((i, t) for i, t, _ in rows[:3])
+
+
+@pytest.mark.parametrize(
+    "element",
+    [
+        '<div style="overflow:hidden">the valley</div>', '<p><a href="/hidden/valley">the valley</a></p>', '<p><a href="/p?id=menu">the valley</a></p>', '<p data-hidden="false">the valley</p>',
+        '<p title=\'class="ad"\'>the valley</p>', '<h2 id="related-work">the valley</h2>', '<h2 id="social-history">the valley</h2>', '<h3 class="menu">the valley</h3>', '<p data-role="main" data-class="ad">the valley</p>',
+    ],
+)
+def test_attributes_are_read_one_by_one(element):
+    assert html.main_texts([html.blocks(f"<body><article><p>before</p>{element}<p>after</p></article></body>")]) == ["before the valley after"]
+
+
+@pytest.mark.parametrize("element", ['<article class="ad">buy this</article>', "<p hidden>buy this</p>", "<div CLASS='Ad'>buy this</div>", "<p aria-hidden=TRUE>buy this</p>", "<div id=ad>buy this</div>", '<div role="Banner">buy this</div>'])
+def test_adverts_and_what_is_hidden_go(element):
+    assert html.main_texts([html.blocks(f"<body><article><p>before</p></article>{element}</body>")]) == ["before"]
+    assert html.main_texts([html.blocks(f"<body><div><p>before</p></div>{element}</body>")]) == ["before"]
+
+
+def test_suffix_array():
+    rnd = random.Random(5)
+    size = [rnd.randrange(0, 60) for _ in range(40)]
+    token = np.array([rnd.randrange(3) for _ in range(sum(size))])
+    end = np.repeat(np.cumsum(size), size)
+    order, begins = html.suffix_array(token, end)
+    runs = [tuple(token[i : i + html.RUN]) for i in order]
+    assert sorted(order.tolist()) == [i for i in range(len(token)) if i + html.RUN <= end[i]]
+    assert runs == sorted(runs) and begins.tolist() == [i for i in range(len(runs)) if i == 0 or runs[i] != runs[i - 1]]
