@@ -1,12 +1,11 @@
 """License scans: ordered signature rules over words, in DataFrame functions only.
 
-Each text becomes its lower-cased words with one space between and around them,
-so rules are regular expressions over words.  A rule has a keyword, which all its
-matches contain; it is tried only where the text holds it.  A detection within
-another of higher priority, or of the same and longer, is suppressed.
-
-The rules are made from names of licenses and from the ways they are referred to,
-in order: the wider a phrase, the higher its priority.
+Each text becomes its words, A-Z lower-cased, with one space between and around
+them, so rules are regular expressions over words.  A rule has keywords, one of
+which all its matches hold; the words of a text are met with all rules' keywords
+at once, and a rule is tried only where a keyword of its own is there.  A
+detection within another of higher priority, or of the same and longer, is
+suppressed.  The rules are in signatures.py.
 """
 
 from __future__ import annotations
@@ -16,144 +15,101 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .signatures import SIGNATURES
+from .urls import LOWER, UPPER
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that count in the base figures, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: (label, name as words, keyword); the more special names come first.
-NAMES = [
-    ("apache-2.0", "apache(?: software)?(?: licen[cs]e)?(?: version)? 2(?: 0)?", "apache"),
-    ("apache-1.1", "apache(?: software)?(?: licen[cs]e)?(?: version)? 1 1", "apache"),
-    ("agpl-3.0", "(?:gnu )?affero general public licen[cs]e(?: version)? 3(?: 0)?", "affero"),
-    ("lgpl-3.0", "(?:gnu )?lesser general public licen[cs]e(?: version)? 3(?: 0)?", "lesser general"),
-    ("lgpl-2.1", "(?:gnu )?lesser general public licen[cs]e(?: version)? 2 1", "lesser general"),
-    ("gpl-3.0", "(?:gnu )?general public licen[cs]e(?: version)? 3(?: 0)?", "general public"),
-    ("gpl-2.0", "(?:gnu )?general public licen[cs]e(?: version)? 2(?: 0)?", "general public"),
-    ("gpl", "(?:gnu )?general public licen[cs]e", "general public"),
-    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?", "bsd"),
-    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "bsd"),
-    ("bsd", "bsd(?: style)? licen[cs]e", "bsd"),
-    ("mit", "(?:mit|expat|x11)(?: style)? licen[cs]e", "licen"),
-    ("isc", "isc licen[cs]e", "isc licen"),
-    ("mpl-2.0", "mozilla public licen[cs]e(?: version)? 2(?: 0)?", "mozilla"),
-    ("mpl-1.1", "mozilla public licen[cs]e(?: version)? 1 1", "mozilla"),
-    ("epl-2.0", "eclipse public licen[cs]e(?: version)? 2(?: 0)?", "eclipse"),
-    ("epl-1.0", "eclipse public licen[cs]e(?: version)? 1(?: 0)?", "eclipse"),
-    ("cddl-1.0", "common development and distribution licen[cs]e(?: version)?(?: 1(?: 0)?)?", "common development"),
-    ("artistic-2.0", "artistic licen[cs]e(?: version)? 2(?: 0)?", "artistic"),
-    ("zlib", "zlib(?: libpng)? licen[cs]e", "zlib"),
-    ("unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("wtfpl", "do what the f\\\\w+ you want to public licen[cs]e", "do what the"),
-    ("boost-1.0", "boost software licen[cs]e(?: version)?(?: 1(?: 0)?)?", "boost"),
-    ("ofl-1.1", "(?:sil )?open font licen[cs]e(?: version)?(?: 1 1)?", "open font"),
-    ("gfdl", "(?:gnu )?free documentation licen[cs]e(?: version)?(?: 1 [1-3])?", "free documentation"),
-    ("odbl-1.0", "open database licen[cs]e(?: version)?(?: 1(?: 0)?)?", "open database"),
-    ("psf-2.0", "python software foundation licen[cs]e(?: version)?(?: 2)?", "python software"),
-    ("postgresql", "postgresql licen[cs]e", "postgresql"),
-    ("openssl", "openssl licen[cs]e", "openssl"),
-    ("eupl-1.2", "european union public licen[cs]e(?: version)?(?: 1 [0-2])?", "european union"),
-    ("ms-pl", "microsoft public licen[cs]e", "microsoft"),
-    ("cc0-1.0", "cc0(?: 1 0)?(?: universal)?", "cc0"),
-    ("cc0-1.0", "cc zero(?: 1 0)?(?: universal)?", "cc zero"),
-    ("cc0-1.0", "creative commons zero(?: 1 0)?(?: universal)?", "creative commons"),
-]
-#: Creative Commons, by its parts.
-PARTS = [("by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"), ("by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"), ("by-nc", "by nc", "attribution non ?commercial"), ("by-nd", "by nd", "attribution no ?deriv(?:ative)?s"), ("by-sa", "by sa", "attribution share ?alike"), ("by", "by", "attribution")]
-VERSIONS = [("4.0", "4 0"), ("3.0", "3 0"), ("2.5", "2 5"), ("2.0", "2 0"), ("1.0", "1 0"), ("", "")]
-#: (words before a name, words after it, priority, confidence).
-WAYS = [
-    ("spdx licen[cs]e identifier ", "", 9, 1.0),
-    ("(?:is |are )?(?:hereby )?(?:licen[cs]ed|released|distributed|published|made available|available|covered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?", "", 8, 0.95),
-    ("(?:subject to|governed by|use of this \\\\w+ is governed by) (?:the )?(?:terms of )?(?:the |an? )?", "", 7, 0.9),
-    ("(?:under|by) (?:the )?(?:terms of )?(?:the |an? )?", "", 6, 0.8),
-    ("(?:see|read|visit) (?:the )?", "", 5, 0.6),
-    ("", "(?: or(?: at your option)? any later version| only)?", 4, 0.7),
-]
-#: Rules that name no license: (label, pattern, keyword, priority, confidence).
-OTHERS = [
-    ("reserved", "all rights reserved", "rights reserved", 4, 0.8),
-    ("reserved", "(?:copyright|c)(?: c)? [0-9]{4}(?: \\\\S+){1,6} all rights reserved", "rights reserved", 6, 0.9),
-    ("some-reserved", "some rights reserved", "rights reserved", 4, 0.6),
-    ("proprietary", "proprietary and confidential", "proprietary", 5, 0.8),
-    ("proprietary", "(?:no part of this|reproduction|redistribution)(?: \\\\S+){1,12} without(?: the)?(?: express)?(?: prior)?(?: written)? (?:permission|consent)", "without", 5, 0.8),
-    ("public-domain", "(?:in|into|to|dedicated to) the public domain", "public domain", 5, 0.8),
-    ("public-domain", "public domain", "public domain", 3, 0.5),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby", 9, 1.0),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use", 9, 1.0),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use", 9, 1.0),
-    ("copyright", "copyright(?: c)? [0-9]{4}(?: [0-9]{4})?", "copyright", 2, 0.4),
-]
+#: The confidence of a base phrase.
+BASE_SURE = 0.5
+
+
+#: Versions that a signature of Creative Commons stands for, a rule each; where it is optional, there is one without as well.
+VERSIONS, _ANY, _OPTIONAL = ("1 0", "2 0", "2 5", "3 0", "4 0"), "[1-4] [05]", "(?: [1-4] [05])?"
 
 
 @cache
-def rules() -> tuple[tuple, ...]:
-    """(label, pattern, keyword, priority, confidence) of every rule, in order."""
-    named = list(NAMES)
-    for part, short, long in PARTS:
-        for version, words in VERSIONS:
-            label = f"cc-{part}" + (f"-{version}" if version else "")
-            tail = f" {words}" if words else ""
-            named.append((label, f"cc {short}{tail}", "cc by"))
-            named.append((label, f"creative commons {long}(?: licen[cs]e)?(?: version)?{tail}(?: international| unported| generic)?(?: licen[cs]e)?", "creative commons"))
-    made = [(label, before + f"(?:{name})" + after, key, priority, sure) for label, name, key in named for before, after, priority, sure in WAYS]
-    return (*made, *OTHERS)
+def rules() -> tuple[tuple[str, tuple[str, ...], int, float, str], ...]:
+    """(label, keywords, priority, confidence, pattern) of every rule, in order."""
+    found = []
+    for line in SIGNATURES.strip().split("\n"):
+        label, keys, priority, sure, pattern = line.split("; ")
+        made = [(label, pattern.replace(_OPTIONAL, ""))] if _ANY not in pattern or _OPTIONAL in pattern else []
+        if _ANY in pattern:
+            made += [(f"{label}-{v.replace(' ', '.')}", pattern.replace(_OPTIONAL, f" {v}").replace(_ANY, v)) for v in VERSIONS]
+        found += [(name, tuple(keys.split(",")), int(priority), float(sure), text) for name, text in made]
+    return tuple(found)
 
 
 def _words(text: Column) -> Column:
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS, " ")), F.lit(" "))
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, SEPARATORS, " ")), F.lit(" "))
 
 
 def _spaces(of: str) -> str:
     return f"(length({of}) - length(replace({of}, ' ', '')))"
 
 
-_RULES = "array({})"
-# all matches of a rule, each found again at or after the end of the one before; words from 0
+_KIND = "array<struct<first: int, last: int, priority: int, label: string, sure: double>>"
+# all matches of a rule and the pieces between them, in one pass; c: spaces before a match; words from 0
 _FOUND = f"""
-flatten(transform(filter(rules, r -> contains(_t, r.key)), r -> aggregate(
-  regexp_extract_all(_t, concat('(?<= )(?:', r.pattern, ')(?= )'), 0),
-  struct(1 AS at, cast(array() AS array<struct<first: int, last: int, priority: int, label: string, sure: double>>) AS got),
-  (a, m) -> transform(array(locate(concat(' ', m, ' '), _t, a.at)), p -> struct(
-    p + length(m) + 1 AS at,
-    concat(a.got, array(struct({_spaces("substring(_t, 1, p)")} - 1 AS first, {_spaces("substring(_t, 1, p)")} - 1 + {_spaces("m")} AS last, r.priority AS priority, r.label AS label, r.sure AS sure))) AS got))[0]).got))"""
-_KEPT = """
-filter(_found, d -> NOT exists(_found, o -> o.first <= d.first AND o.last >= d.last
-  AND (o.priority > d.priority OR (o.priority = d.priority AND o.last - o.first > d.last - d.first))))"""
+flatten(transform(filter(rules, r -> arrays_overlap(_k, r.keys)),
+  r -> transform(array(struct(regexp_extract_all(_t, r.pattern, 0) AS m, split(_t, r.pattern, -1) AS p)), x ->
+    if(size(x.m) = 0, cast(array() AS {_KIND}), aggregate(sequence(0, size(x.m) - 1),
+      struct({_spaces("x.p[0]")} AS c, cast(array() AS {_KIND}) AS got),
+      (a, i) -> struct(
+        a.c + {_spaces("x.m[i]")} + {_spaces("x.p[i + 1]")} AS c,
+        concat(a.got, array(named_struct('first', a.c - 1, 'last', a.c - 1 + {_spaces("x.m[i]")}, 'priority', r.priority, 'label', r.label, 'sure', r.sure))) AS got)).got))[0]))"""
+# in the order of their starts, the longer first, the higher priority first: whatever holds a detection comes before it.
+# ends: the furthest end so far by priority, from 0 to 9; before: the detection before and whether it stayed
+_KEPT = f"""
+aggregate(
+  array_sort(_found, (x, y) -> CASE WHEN x.first <> y.first THEN x.first - y.first WHEN x.last <> y.last THEN y.last - x.last WHEN x.priority <> y.priority THEN y.priority - x.priority
+    WHEN x.label < y.label THEN -1 WHEN x.label > y.label THEN 1 WHEN x.sure > y.sure THEN -1 WHEN x.sure < y.sure THEN 1 ELSE 0 END),
+  struct(array_repeat(-1, 10) AS ends, struct(-1 AS first, -1 AS last, -1 AS priority, false AS stays) AS before, cast(array() AS {_KIND}) AS got),
+  (a, d) -> transform(array(if(a.before.first = d.first AND a.before.last = d.last AND a.before.priority = d.priority, a.before.stays, NOT exists(slice(a.ends, d.priority + 1, 10 - d.priority), e -> e >= d.last))), s -> struct(
+    transform(a.ends, (e, i) -> if(i = d.priority, greatest(e, d.last), e)) AS ends,
+    struct(d.first AS first, d.last AS last, d.priority AS priority, s AS stays) AS before,
+    if(s, concat(a.got, array(d)), a.got) AS got))[0]).got"""
 
 
 def _starts(phrase: str) -> str:
-    words = phrase.split()
-    at = " AND ".join(f"get(_w, i + {k}) = '{w}'" if k else f"get(_w, i) = '{w}'" for k, w in enumerate(words))
-    return f"if(contains(_t, ' {phrase} '), filter(sequence(0, size(_w) - 1), i -> {at}), cast(array() AS array<int>))"
+    at = " AND ".join(f"get(w, i{f' + {k}' if k else ''}) = '{word}'" for k, word in enumerate(phrase.split()))
+    return f"if(contains(_t, ' {phrase} '), transform(array(split(trim(_t), ' ')), w -> filter(sequence(0, size(w) - 1), i -> {at}))[0], cast(array() AS array<int>))"
 
 
 def scans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, base (places of the base phrases), base_labels, detections and labels as arrays, and score.
 
     A detection has its first and last word, priority, label and confidence;
-    those suppressed are gone.  score: the highest confidence among detections
-    and base phrases (which have theirs), 0 without any.  A null text is empty.
+    those suppressed are gone, and of equal ones all stay.  score: the highest
+    confidence among detections and base phrases (which have theirs), 0 without
+    any.  A null text is empty and an empty one has no words.  Columns of docs by
+    the six names are replaced; all others come through whatever their names.
     """
-    literal = _RULES.format(", ".join(f"named_struct('label', '{a}', 'pattern', '{b}', 'key', '{c}', 'priority', {d}, 'sure', {e}D)" for a, b, c, d, e in rules()))
-    seen = " OR ".join(f"contains(_t, '{key}')" for key in sorted({r[2] for r in rules()}))
-    found = f"transform(array({literal}), rules -> {_FOUND})[0]"
-    empty = "cast(array() AS array<struct<first: int, last: int, priority: int, label: string, sure: double>>)"
-    rows = docs.withColumn("_t", _words(F.col(text_col)))
-    rows = rows.withColumns({"n_words": F.when(F.col("_t") == "  ", F.lit(0).cast("long")).otherwise((F.expr(_spaces("_t")) - 1).cast("long")), "_seen": F.expr(seen)})
-    rows = rows.withColumns({"_w": F.when(F.expr(" OR ".join(f"contains(_t, ' {p} ')" for p in BASE)), F.split(F.trim("_t"), " ")), "_found": F.expr(f"if(_seen, {found}, {empty})")})
-    rows = rows.withColumns({f"_base{k}": F.coalesce(F.expr(f"if(_w IS NULL, NULL, {_starts(p)})"), F.expr("cast(array() AS array<int>)")) for k, p in enumerate(BASE)} | {"detections": F.expr(_KEPT)})
-    own = [f"_base{k}" for k in range(len(BASE))]
+    tick = lambda c: "`" + c.replace("`", "``") + "`"
+    new = ["n_words", "base", "base_labels", "detections", "labels", "score"]
+    row = [F.col(tick(c)) for c in docs.columns if c not in new]
+    literal = "array({})".format(", ".join(f"named_struct('label', '{label}', 'keys', array({', '.join(map(repr, keys))}), 'priority', {priority}, 'sure', {sure}D, 'pattern', r'(?<= )(?:{pattern})(?= )')" for label, keys, priority, sure, pattern in rules()))
+    keys = sorted({k for r in rules() for k in r[1]})
+    met = F.array_intersect(F.split(F.trim("_t"), " "), F.array(*[F.lit(k) for k in keys]))
+    rows = docs.select((F.struct(*row) if row else F.struct(F.lit(0).alias("_none"))).alias("_row"), _words(F.col(tick(text_col))).alias("_t"))
+    rows = rows.withColumns({"n_words": F.when(F.col("_t") == "  ", F.lit(0).cast("long")).otherwise((F.expr(_spaces("_t")) - 1).cast("long")), "_k": met})
+    rows = rows.withColumn("_found", F.expr(f"if(size(_k) > 0, transform(array({literal}), rules -> {_FOUND})[0], cast(array() AS {_KIND}))"))
+    rows = rows.withColumns({f"_base{i}": F.expr(_starts(p)) for i, p in enumerate(BASE)} | {"detections": F.expr(f"if(size(_found) = 0, _found, {_KEPT})")})
+    own = [f"_base{i}" for i in range(len(BASE))]
     labels = F.concat(*[F.when(F.size(c) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for c, label in zip(own, BASE.values(), strict=True)])
     rows = rows.withColumns({"base": F.concat(*own), "base_labels": F.array_sort(labels)})
     rows = rows.withColumns({
         "labels": F.array_sort(F.array_distinct(F.concat("base_labels", F.expr("transform(detections, d -> d.label)")))),
-        "score": F.greatest(F.coalesce(F.expr("array_max(transform(detections, d -> d.sure))"), F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0)),
+        "score": F.greatest(F.coalesce(F.expr("array_max(transform(detections, d -> d.sure))"), F.lit(0.0)), F.when(F.size("base") > 0, BASE_SURE).otherwise(0.0)),
     })
-    return rows.drop("_t", "_w", "_seen", "_found", *own)
+    return rows.select(*(["_row.*"] if row else []), *new)
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of docs."""
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of docs; see scans."""
     rows = scans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return rows.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base").cast("long").alias("first_word"), F.array_max("base").cast("long").alias("last_word"),

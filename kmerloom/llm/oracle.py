@@ -54,8 +54,40 @@ FROM s
 """
 
 
+def _op8() -> str:
+    """The rules as a table; words have a space before and after them, so that matches need not look around."""
+    from .licenses import BASE, BASE_SURE, rules
+
+    spaced = lambda p: p.replace(" ", "  ")
+    table = ", ".join(f"({i}, '{label}', {list(keys)}, {priority}, CAST({sure} AS DOUBLE), ' (?:{spaced(pattern)}) ')" for i, (label, keys, priority, sure, pattern) in enumerate(rules()))
+    words = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
+    base = " UNION ALL ".join(
+        f"SELECT doc, '{label}' AS label, i AS place FROM (SELECT doc, w, unnest(generate_series(0, len(w) - {len(p.split())})) AS i FROM d WHERE len(w) >= {len(p.split())}) WHERE {' AND '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))}"
+        for p, label in BASE.items()
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+r AS (SELECT * FROM (VALUES {table}) AS v(rule, label, keys, priority, sure, pattern)),
+k AS (SELECT list_distinct(flatten(list(keys))) AS k FROM r),
+t AS (SELECT doc, w, ' ' || array_to_string(w, '  ') || ' ' AS t FROM d WHERE list_has_any(w, (SELECT k FROM k))),
+m AS (SELECT doc, label, priority, sure, regexp_extract_all(t, pattern) AS m, regexp_split_to_array(t, pattern) AS p FROM t JOIN r ON list_has_any(w, keys)),
+e AS (SELECT doc, label, priority, sure, unnest(m) AS x, generate_subscripts(m, 1) AS i, m, p FROM m WHERE len(m) > 0),
+f AS (SELECT doc, label, priority, sure,
+    list_sum(list_transform(p[1:i], lambda y: {words('y')})) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: {words('y')})), 0) AS first, {words('x')} AS n FROM e),
+g AS (SELECT *, first + n - 1 AS last FROM f),
+s AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g AS o WHERE o.doc = g.doc AND o.first <= g.first AND o.last >= g.last AND (o.priority > g.priority OR (o.priority = g.priority AND o.n > g.n)))),
+b AS ({base}),
+bs AS (SELECT doc, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM b GROUP BY doc),
+ls AS (SELECT doc, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(sure) AS sure FROM (SELECT doc, label, sure FROM s UNION ALL SELECT doc, label, {BASE_SURE} FROM b) GROUP BY doc)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(sure, 0.0) AS score
+FROM d LEFT JOIN bs USING (doc) LEFT JOIN ls USING (doc)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1,
     "op2_decontamination": OP2,
     "op3_urls": _op3(),
+    "op8_licenses": _op8(),
 }

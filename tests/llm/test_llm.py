@@ -324,16 +324,74 @@ def test_wrappers_keep_their_articles(wrapper):
     assert html.main_texts([html.blocks(comments)]) == ["the text of it"]
 
 
-def test_keywords_of_licenses_lose_no_match(spark, monkeypatch):
-    texts = ["See the Apache 2.0 file for details", "Code: 3-clause BSD", "Code: 3-clause BSD, we walked under trees", "released under the WTFPL version 2", "Creative Commons Zero 1.0 Universal", "CC0", "cc zero 1.0", "an accident of discovery, under trees", "ISC licence", None]
-    for before, _, _, _ in licenses.WAYS:
-        texts += [re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", before).replace("[cs]", "c") + name for name in ("mozilla public license 2.0", "zlib license", "the unlicense", "do what the fox you want to public license", "creative commons attribution", "cc by sa 4.0", "freebsd", "postgresql license")]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(map(tuple, licenses.license_report(docs).collect()))
-    assert [r[6] for r in got[:8]] == ["apache-2.0", "bsd-3-clause", "bsd-3-clause", "wtfpl", "cc0-1.0", "cc0-1.0", "cc0-1.0", ""] and got[8][6] == "isc"
-    rules = tuple((label, pattern, " ", priority, sure) for label, pattern, _, priority, sure in licenses.rules())
-    monkeypatch.setattr(licenses, "rules", lambda: rules)
-    assert sorted(map(tuple, licenses.license_report(docs).collect())) == got
+def some_match(pattern, rnd):
+    """A text that the pattern matches, by its syntax tree."""
+    from re import _parser
+
+    def made(tree):
+        out = ""
+        for kind, value in tree:
+            name = str(kind)
+            if name == "LITERAL":
+                out += chr(value)
+            elif name == "MAX_REPEAT":
+                low, high, inner = value
+                out += "".join(made(inner) for _ in range(rnd.randint(low, min(high, low + 3))))
+            elif name == "BRANCH":
+                out += made(rnd.choice(value[1]))
+            elif name == "SUBPATTERN":
+                out += made(value[3])
+            elif name == "IN":
+                kind, value = value[0]
+                out += chr(value) if str(kind) == "LITERAL" else "word" if str(kind) == "CATEGORY" else chr(rnd.randint(*value))
+            else:
+                raise ValueError(name)
+        return out
+
+    return made(_parser.parse(pattern))
+
+
+def brute_licenses(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    line = " " + " ".join(words) + " "
+    found = []
+    for label, _, priority, sure, pattern in licenses.rules():
+        for m in re.finditer(f"(?<= )(?:{pattern})(?= )", line):
+            first = line[: m.start()].count(" ") - 1
+            found.append((first, first + m[0].count(" "), priority, label, sure))
+    kept = [d for d in found if not any(o[0] <= d[0] and o[1] >= d[1] and (o[2] > d[2] or (o[2] == d[2] and o[1] - o[0] > d[1] - d[0])) for o in found)]
+    base = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    return (
+        len(words), len(base), min(base)[0] if base else None, max(base)[0] if base else None, ",".join(sorted({b[1] for b in base})),
+        ",".join(sorted({b[1] for b in base} | {d[3] for d in kept})), max([d[4] for d in kept] + [licenses.BASE_SURE] * bool(base), default=0.0),
+    )
+
+
+def test_licenses_by_brute_force(spark):
+    """Every rule's matches hold one of its keywords and are found; rules in each other and side by side, ties and repeats too."""
+    rnd = random.Random(12)
+    texts = ["See the Apache 2.0 file for details", "Code: 3-clause BSD", "Code: 3-clause BSD, we walked under trees", "released under the WTFPL version 2", "Creative Commons Zero 1.0 Universal", "CC0", "an accident of discovery, under trees", None, "", "mit der Zeit", "GPL GPL GPL", "\u0130sc ISC", "cc by " * 300]
+    for label, keys, _, _, pattern in licenses.rules():
+        for _ in range(4):
+            text = some_match(pattern, rnd)
+            assert re.fullmatch(pattern, text) and set(keys) & set(text.split()), (label, text)
+        texts.append(text)
+    texts += [" ".join(some_match(licenses.rules()[rnd.randrange(len(licenses.rules()))][4], rnd) + rnd.choice([", ", " and ", "\n"]) for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
+    texts += texts[:20]
+    got = sorted(map(tuple, licenses.license_report(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()))
+    assert got == [(i, *brute_licenses(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("text", "label"), [("SPDX-License-Identifier: MIT", "mit"), ("GPL-2.0-only", "gpl-2.0"), ("ISC", "isc"), ("Licensed under the GPLv3 license", "gpl-3.0"), ("MPL-2.0", "mpl-2.0"), ("LGPL-2.1", "lgpl-2.1"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa-4.0")])
+def test_short_names_of_licenses(text, label):
+    assert label in brute_licenses(text)[5].split(",")
+
+
+def test_scans_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("MIT License", 1, 2, 3, 4, 5, "k")], "text string, n_words long, _t int, base int, detections int, score int, `a.b` string")
+    row = licenses.scans(docs).collect()[0]
+    assert row["_t"] == 2 and row["a.b"] == "k" and row["n_words"] == 2 and row["labels"] == ["mit"] and row["score"] == 0.8
+
 
 
 def test_one_of_each_group_of_like_texts(spark):
