@@ -9,26 +9,16 @@ end; of the two the one with the lesser sequence is kept.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement, unpacked
+from ..tables import written as _written
 from .graph import clean_orphan_edges, degree, oriented_edges
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df from a table in the folder that spark.checkpoint.dir names."""
-    spark: SparkSession = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='kmerloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/kmerloom/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, "graph")
 
 
 def _node(kmer: str, fw: str):
