@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         left = to.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = to.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = links.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        links = written(tidy(moved), "links")
+        links, before = written(tidy(moved), "links"), links
+        dropped(before)
     if not turns:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # from the last round back: where a node's root went later

@@ -1,11 +1,18 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles.
 
-A text is the set of its shingles, and equal sets are one class.  Classes meet
-where they agree in all minima of a band; BANDS bands of ROWS minima lose a pair
-of similarity 0.8 with probability (1 - 0.8^ROWS)^BANDS, 2 in a million.  Pairs
-that meet are verified on the sets.  First each class of a band is compared with
-the first of it and with the one before; then all pairs that these links have not
-joined, so a group of many near copies is not compared pair by pair.
+A text is the set of its shingles, and equal sets are one class.  Pairs of
+classes are proposed in three ways and verified on the sets:
+
+* SimHash fingerprints of the shingles that link by anchor-point covering;
+* classes that agree in all minima of a band, with the two that come first and
+  last of the band, and those not joined yet in further bands;
+* every pair of classes in a band that these links have not joined.
+
+A pair of similarity 0.8 differs in about ten bits of a fingerprint, so a covering
+of three bits proposes few of them.  BANDS bands of ROWS minima lose such a pair
+with probability (1 - 0.8^ROWS)^BANDS, 2 in a million, and those more alike less
+often.  In a group of many near copies each is compared with a few others, and no
+group is held in one place.
 """
 
 from __future__ import annotations
@@ -20,9 +27,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import written
-from .text import BLANK, Words, grams, mix, pieces, whole_groups
+from .simhash import BITS, near_links
+from .text import BLANK, Words, grams, mix, pieces
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 25, 4
+#: Bands by which classes are compared with the first and last of a band, round by round.
+ROUNDS = ((0, 3), (3, 8))
 _U = np.uint64
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F))
@@ -53,11 +63,23 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles as a signed integer."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        ones += np.unpackbits(mix(shingles[at : at + (1 << 14)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+_CLASSES = "hash long, node long, fp long, bands array<long>"
+
+
 def _classes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(shingle_sets(batch.column(2).cast(pa.large_binary()).to_pylist()))
         met = [bands(s) if len(s) else np.empty(0, np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array(met, pa.list_(pa.int64()))], ["doc_id", "hash", "node", "bands"])
+        columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array(met, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "hash", "node", "fp", "bands"])
 
 
 def _sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,25 +88,6 @@ def _sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
 
-def _pairs(whole: bool):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "band", 200_000):
-            band, node, root = (table.column(x).to_numpy() for x in ("band", "node", "root"))
-            start = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
-            for at, n in zip(start.tolist(), np.diff(np.append(start, len(band))).tolist(), strict=True):
-                own, of = node[at : at + n], root[at : at + n]
-                if n < 2 or (whole and (of == of[0]).all()):
-                    continue
-                if whole:
-                    found = ((np.full(len(o), own[k]), o) for k in range(n - 1) if len(o := own[k + 1 :][of[k + 1 :] != of[k]]))
-                else:
-                    found = [(own[:-1], own[1:]), (np.full(n - 1, own[0]), own[1:])]
-                for a, b in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return run
-
-
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -95,36 +98,77 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes whose sets are at least LEAST alike."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "links")
+
+
+def _of_fingerprints(classes: DataFrame) -> DataFrame:
+    """Pairs of classes whose fingerprints link; those with one fingerprint are compared with the first of them."""
+    own = classes.where("size(bands) > 0").groupBy("fp").agg(F.min("node").alias("first"))
+    linked = near_links(own).join(own.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    equal = classes.where("size(bands) > 0").join(own, "fp").where("node <> first")
+    return linked.select("x", "y").unionByName(equal.select(F.col("first").alias("x"), F.col("node").alias("y")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _held(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, k, node, root) of each class in each of its bands, in bands that hold several components."""
+    roots = written(connected_components(links), "roots")
+    held = met.join(roots, "node", "left").select("band", "k", "node", F.coalesce("root", "node").alias("root"))
+    several = held.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("band")
+    return held.join(several, "band", "left_semi")
+
+
+def _with_ends(held: DataFrame) -> DataFrame:
+    """Pairs of each class with the first and the last of its band, by an order of the band's own."""
+    one = F.struct(F.xxhash64("band", "node").alias("h"), "node", "root")
+    ends = held.groupBy("band").agg(F.min(one).alias("first"), F.max(one).alias("last"))
+    both = held.join(ends, "band").select("node", "root", F.explode(F.array("first", "last")).alias("end")).where("end.root <> root")
+    return both.select(F.col("node").alias("x"), F.col("end.node").alias("y"))
+
+
+def _across(held: DataFrame) -> DataFrame:
+    """All pairs of a band's classes that are of two components."""
+    parts = held.select("band", "root").distinct()
+    two = parts.withColumnRenamed("root", "r").join(parts.withColumnRenamed("root", "q"), "band").where("r < q")
+    left = two.join(held.select("band", F.col("root").alias("r"), F.col("node").alias("x")), ["band", "r"])
+    return left.join(held.select("band", F.col("root").alias("q"), F.col("node").alias("y")), ["band", "q"]).select("x", "y")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of texts at least LEAST alike: the one with the smallest id.
 
     A null id comes last; among rows with an equal id a hash of the text decides,
-    so ids need not be unique.  Texts without words are one class.
+    so ids need not be unique.  Of rows equal in both, one stays.  Texts without
+    words, null ones among them, are one class.  Without documents: no rows.
+    Other columns come through as they are.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hashed = F.xxhash64(text)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), hashed.alias("hash"), text.alias("text")).mapInArrow(_classes_of, f"doc_id {kind}, hash long, node long, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), hashed.alias("hash"), text.alias("text")).mapInArrow(_classes_of, f"doc_id {kind}, {_CLASSES}")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("hash").alias("hash"))).alias("least")
-    classes = written(rows.groupBy("node").agg(least, F.first("bands").alias("bands")), "alike")
-    met = classes.select("node", F.explode("bands").alias("band"))
-    links = None
-    for whole in (False, True):
-        if whole:
-            roots = written(connected_components(links), "roots")
-            held = met.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        else:
-            held = met.select("band", "node", F.col("node").alias("root"))
-        pairs = written(held.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_pairs(whole), "a long, b long").distinct(), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = classes.join(nodes, "node", "left_semi").select(F.col("least.hash").alias("hash"))
-        texts = docs.select(text.alias("text"), hashed.alias("hash")).join(wanted, "hash", "left_semi").dropDuplicates(["hash"]).select("text")
-        sets = written(texts.mapInArrow(_sets_of, "node long, shingles binary"), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        found = written(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "alike_links")
-        links = found if links is None else links.unionByName(found)
-    roots = connected_components(links)
-    grouped = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
+    classes = written(rows.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    every = classes.select("node", F.posexplode("bands").alias("k", "band"))
+    shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    met = written(every.join(shared, "band", "left_semi"), "met")
+    near = written(_ordered(_of_fingerprints(classes)), "near")
+    wanted = met.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    # one row of each class, by its id and its hash: copies stay where they are
+    of = classes.join(wanted, "node", "left_semi").select(F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_of"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), hashed.alias("hash"))
+    one = texts.join(of, texts["doc_id"].eqNullSafe(of["_id"]) & (texts["hash"] == of["_of"]), "left_semi").dropDuplicates(["doc_id", "hash"])
+    sets = written(one.select("text").mapInArrow(_sets_of, "node long, shingles binary"), "sets")
+    links = _verified(near, sets)
+    for first, last in ROUNDS:
+        links = links.unionByName(_verified(_ordered(_with_ends(_held(met.where(f"k >= {first} AND k < {last}"), links))), sets))
+    links = links.unionByName(_verified(_ordered(_across(written(_held(met, links), "held"))), sets))
+    grouped = classes.join(connected_components(links), "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_of"))
     one = docs.withColumn("_hash_of_text", hashed)
     one = one.join(kept, one[id_col].eqNullSafe(kept["_id"]) & (one["_hash_of_text"] == kept["_of"]), "left_semi")

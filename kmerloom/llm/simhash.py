@@ -115,10 +115,11 @@ def _home(anchor: np.ndarray, fp: np.ndarray) -> np.ndarray:
 
 
 class _Forest:
-    """Union-find over values; links() are its edges to the roots."""
+    """Union-find over values; links: the near pairs that joined two trees."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
 
     def root(self, x: int) -> int:
         up = self.up
@@ -128,12 +129,10 @@ class _Forest:
         return x
 
     def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-    def links(self) -> list[tuple[int, int]]:
-        return [(r, x) for x in list(self.up) if (r := self.root(x)) != x]
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((a, b))
 
 
 def _spread(group: np.ndarray, forest: _Forest) -> None:
@@ -167,12 +166,12 @@ def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = (left != right) & (np.bitwise_count(fp[left].view(_U) ^ fp[right].view(_U)) <= NEAR)
         for a, b in zip(fp[left[near]].tolist(), fp[right[near]].tolist(), strict=True):
             forest.join(a, b)
-        links = forest.links()
+        links = forest.links
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
 
 def near_links(classes: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of fp within NEAR bits; classes has each fp once."""
+    """(a, b): pairs of fp within NEAR bits whose components are those of all such pairs; classes has each fp once."""
 
     def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
