@@ -4,7 +4,8 @@ A page becomes blocks of text in page order.  Each has a place: in boilerplate
 elements (menus, footers, adverts, forms, comments and so on, by tag, role or
 class), in the main element (article or main), or elsewhere.
 
-The token streams of a host's pages are laid end to end in a suffix array, whose
+The token streams of what is not in boilerplate elements, for all pages of a host,
+are laid end to end in a suffix array, whose
 suffixes are sorted by prefix doubling up to their first RUN tokens: neighbours
 that agree so far are an interval, and what lies below an interval is a substring
 of RUN tokens.  A longer substring that repeats is where such ones overlap, so no
@@ -102,7 +103,7 @@ def _kind(tag: str, known: dict[str, str], in_main: bool) -> int:
 
 
 def blocks(page: str | None) -> tuple[list[str], list[int]]:
-    """The blocks of a page and their places; white space in a block is one space.
+    """The blocks of a page that are not boilerplate, and their places; white space in a block is one space.
 
     Forms, and then what is loosely boilerplate, are not, where they hold more text than the rest of the page that may be main.
     """
@@ -172,7 +173,8 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
     for kind in (FORM, LOOSE):
         if kind in places and sum(len(t) * ((p == kind) - (p > 0)) for t, p in zip(texts, places, strict=True)) > 0:
             places = [ELSEWHERE if p == kind else p for p in places]
-    return texts, [max(p, OUT) for p in places]
+    kept = [(t, p) for t, p in zip(texts, places, strict=True) if p > OUT]
+    return [t for t, _ in kept], [p for _, p in kept]
 
 
 def suffix_array(token: np.ndarray, page_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
