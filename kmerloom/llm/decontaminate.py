@@ -29,6 +29,7 @@ from .text import SYMBOL, Words, grams, pieces
 SHINGLE, SHARE = 5, Fraction(4, 5)
 #: Bytes of items' text in a block.
 BLOCK_BYTES = 8 << 20
+_FOUND = "array<struct<item_id: bigint, n_shared: bigint, n_shingles: bigint>>"
 _U = np.uint64
 
 
@@ -108,25 +109,24 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     item contaminates nothing.  Repeated rows of docs each have their rows;
     repeated items count once.  Other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64())]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.expr(f"cast(array() AS {_FOUND})").alias("found"))
 
     def search(block: list[tuple]) -> Callable:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches = Sketches(block)
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                found = [(ids[t], item, shared, n) for t, item, shared, n in sketches.search(batch.column(1).cast(pa.large_binary()).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["doc_id", "item_id", "n_shared", "n_shingles"])
+                met = batch.column(2).to_pylist()
+                for t, item, shared, n in sketches.search(batch.column(1).cast(pa.large_binary()).to_pylist()):
+                    met[t] = [*met[t], {"item_id": item, "n_shared": shared, "n_shingles": n}]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(met, found)], ["doc_id", "text", "found"])
 
         return run
 
-    out = None
+    # block after block within each task: the documents are read once
     for block in _blocks(items, item_col, item_text_col):
-        part = rows.mapInArrow(search(block), "doc_id long, item_id long, n_shared long, n_shingles long")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long, n_shingles long")
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+        rows = rows.mapInArrow(search(block), f"doc_id long, text string, found {_FOUND}")
+    return rows.select("doc_id", F.inline("found")).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -132,9 +132,11 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             out.append((before[0], None, None, before[2].astype(">u2").tobytes(), None, None, None, part, 2, before[1]))
             yield _columns(out, _EDGE)
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).repartitionByRange("doc_id", F.xxhash64("text"))
-    sorted_ = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = written(sorted_.mapInArrow(run, f"{_ROW}, part int, kind int, text string"), "fingerprints")
+    # rows that are equal in both are told apart by where they are read, so no document fills a task
+    order = ["doc_id", "_hash", "_read"]
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"_hash": F.xxhash64("text"), "_read": F.monotonically_increasing_id()})
+    dealt = read.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = written(dealt.mapInArrow(run, f"{_ROW}, part int, kind int, text string"), "fingerprints")
 
     parts = sorted(r[0] for r in rows.where("kind = 1").select("part").collect())
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int")

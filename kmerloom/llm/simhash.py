@@ -12,6 +12,10 @@ most.  If x and y are within 1 in a segment, y is within 2 of the home of x, so
 they meet there.  No pair is missed, and an anchor holds few fingerprints that
 are not near each other.
 
+Where an anchor meets more than HOT_ANCHOR fingerprints, they are dealt out by the
+bits outside its segment: 33 bits in four blocks, one of which is equal if at most
+three bits differ.
+
 Equal fingerprints are one class before any of this, so a group of copies of any
 size costs one row.  Within an anchor only a spanning forest of the links is
 passed on, never all pairs of a group.
@@ -29,12 +33,14 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import written
-from .text import whole_groups
+from .text import mix, whole_groups
 
 BITS, NEAR, SEED, SHINGLE = 64, 3, 42, 3
 SEGMENT = 31  # 2^5 - 1: the length of a perfect Hamming code
 #: Members of an anchor up to which all its pairs are compared at once.
 SMALL = 64
+#: Members of an anchor above which they are dealt out by the other bits, in so many blocks.
+HOT_ANCHOR, BLOCKS = 50_000, NEAR + 1
 #: A class is hot if it holds more rows than both HOT_ROWS and this share of all: there are fewer than HOT_SHARE.
 HOT_ROWS, HOT_SHARE = 1000, 10_000
 _U = np.uint64
@@ -114,6 +120,20 @@ def _home(anchor: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(segment ^ (anchor & ((1 << SEGMENT) - 1)).astype(_U)) <= 1
 
 
+def _dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member of a hot anchor once for each block of the bits outside the anchor's segment; anchors below 0 are made of the three."""
+    for batch in batches:
+        anchor, fp, home = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        bits = fp.view(_U)
+        low, high = bits & _U((1 << SEGMENT) - 1), bits >> _U(2 * SEGMENT)
+        other = np.where(anchor >> SEGMENT == 0, (bits >> _U(SEGMENT)) & _U((1 << SEGMENT) - 1), low) | (high << _U(SEGMENT))
+        width = -(-(BITS - SEGMENT) // BLOCKS)
+        for k in range(BLOCKS):
+            value = (other >> _U(width * k)) & _U((1 << width) - 1)
+            key = mix(mix(anchor.view(_U) * _U(BLOCKS) + _U(k + 1)) + value) | _U(1 << 63)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1), home], ["anchor", "fp", "home"])
+
+
 class _Forest:
     """Union-find over values; links: the near pairs that joined two trees."""
 
@@ -152,14 +172,14 @@ def _spread(group: np.ndarray, forest: _Forest) -> None:
 def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links (a, b) among the fingerprints that meet at an anchor, from rows sorted by anchor."""
     for table in whole_groups(batches, "anchor", 200_000):
-        anchor, fp = table.column("anchor").to_numpy(), table.column("fp").to_numpy()
+        anchor, fp, at_home = table.column("anchor").to_numpy(), table.column("fp").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
         start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         size = np.diff(np.append(start, len(anchor)))
         forest = _Forest()
         for at, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             _spread(fp[at : at + n], forest)
         group = np.repeat(np.arange(len(start)), size)
-        home = np.flatnonzero(_home(anchor, fp) & (size[group] <= SMALL) & (size[group] > 1))
+        home = np.flatnonzero(at_home & (size[group] <= SMALL) & (size[group] > 1))
         n = size[group[home]]
         left = np.repeat(home, n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[home]], n)
@@ -179,10 +199,14 @@ def near_links(classes: DataFrame) -> DataFrame:
             for at in range(0, len(fp), 1 << 14):
                 part = fp[at : at + (1 << 14)]
                 anchor, of = anchors(part)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[of])], ["anchor", "fp"])
-
-    met = classes.select("fp").mapInArrow(sent, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(linked, "a long, b long")
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[of]), pa.array(_home(anchor, part[of]))], ["anchor", "fp", "home"])
+
+    schema = "anchor long, fp long, home boolean"
+    met = classes.select("fp").mapInArrow(sent, schema)
+    hot = written(met.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ANCHOR).select("anchor"), "hot")
+    if not hot.isEmpty():
+        met = met.join(hot, "anchor", "left_anti").unionByName(met.join(hot, "anchor", "left_semi").mapInArrow(_dealt, schema))
+    return met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -185,7 +185,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, order:
     keys = order or [F.col(id_col).cast("long"), F.xxhash64(text)]
     sort = [f"_sort{i}" for i in range(len(keys))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[k.alias(s) for k, s in zip(keys, sort, strict=True)])
-    dealt = rows.repartitionByRange(*sort[:1]).sortWithinPartitions(*sort).select("doc_id", "text")
+    # rows that are equal in all keys are told apart by where they are read, so no key fills a task
+    sort.append("_read")
+    dealt = rows.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort).select("doc_id", "text")
     return written(dealt.mapInArrow(run, _MANIFEST), "manifest")
 
 

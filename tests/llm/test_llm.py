@@ -55,7 +55,8 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_anchors_lose_no_link(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_anchors_lose_no_link(spark, monkeypatch, hot):
     rnd = random.Random(3)
     values = {rnd.getrandbits(64) for _ in range(60)}
     for v in list(values):
@@ -74,6 +75,8 @@ def test_anchors_lose_no_link(spark):
             break
         label = new
     classes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    if hot:
+        monkeypatch.setattr(simhash, "HOT_ANCHOR", 2)
     roots = {r["node"]: r["root"] for r in connected_components(simhash.near_links(classes)).collect()}
     groups = {}
     for x, one in zip(fps.view(np.int64).tolist(), label.tolist(), strict=True):
