@@ -35,6 +35,18 @@ FROM d JOIN slots ON slots.source = d.source AND slots.k = (rank // 16) % slots.
 """
 
 
+OP7 = """
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+place AS (SELECT doc, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+win AS (SELECT doc, i, array_to_string(w[i:i + 34], ' ') AS s FROM place),
+rep AS (SELECT doc, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc, unnest(generate_series(i, i + 34)) AS j FROM rep),
+word AS (SELECT doc, unnest(generate_series(1, len(w))) AS j, unnest(w) AS x FROM d),
+kept AS (SELECT doc, string_agg(x, ' ' ORDER BY j) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc, j) GROUP BY doc)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc)
+"""
+
+
 def _op3() -> str:
     """The rules and the vocabulary as expressions over one URL."""
     from .urls import LOWER, RULES, SOFT, SOFT_LIMIT, STRICT, UPPER
@@ -89,5 +101,6 @@ ORACLES: dict[str, str] = {
     "op1_mixing": OP1,
     "op2_decontamination": OP2,
     "op3_urls": _op3(),
+    "op7_substrings": OP7,
     "op8_licenses": _op8(),
 }

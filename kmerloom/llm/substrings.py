@@ -7,18 +7,22 @@ windows have equal minimisers, so they meet in one bucket, where sorting the
 windows' hashes counts them.  A super-k-mer holds about 17 windows in 50 words,
 so a word is sent about three times rather than 35.
 
-Packed strings for one bucket are sent in compressed blocks.  Before that, one
-pass counts the words that each minimiser would bring.  Those above a share of
-the corpus (at most 1 / HOT_SHARE of them can be) are hot: their windows travel
-singly as 128-bit hashes, counted with a map-side sum and spread over all tasks
-by that hash, so a passage in a third of all documents loads no bucket.
-
-A word has a 64-bit hash and a window two independent ones over those; windows
-count as equal if both agree.
+Packed strings for one bucket are sent in compressed blocks.  Sorting finds the
+windows whose hashes agree, and those are compared word by word.
+
+Before that, one pass counts the words that each minimiser would bring.  Those
+that would fill a bucket by themselves are hot: their windows travel singly as
+128-bit hashes, counted with a map-side sum and spread over all tasks by that
+hash, so a passage in a third of all documents loads no bucket.  The two halves
+of such a hash come from independent hashes of the words; windows count as equal
+there if both agree.  Hot minimisers are told to all tasks as a bitmap of bounded
+size, in which another one may be taken for hot: it travels the other way, with
+the same result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +35,8 @@ from .shared import written
 from .text import BLANK, Words, grams, mix, pieces, runs, window_min
 
 WINDOW, GRAM = 35, 5
-#: A minimiser is hot if it brings more words than both of these.
-HOT_WORDS, HOT_SHARE = 1 << 21, 1 << 16
+#: A minimiser is hot if it brings more words than both of these; bits of the map of the hot ones.
+HOT_WORDS, HOT_SHARE, HOT_BITS = 1 << 21, 1 << 24, 1 << 27
 #: Packed bytes that a bucket should hold, and a mapper collects before it sends.
 BUCKET_BYTES, SEND_BYTES = 12 << 20, 48 << 20
 _U = np.uint64
@@ -52,8 +56,28 @@ def _super_kmers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[real[start]], real[start], np.diff(np.append(start, len(real)))
 
 
-def _window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return grams(h, WINDOW), grams(h, WINDOW, seed=WINDOW)
+def _window_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window, from independent hashes of the words."""
+    return grams(words.hashes(), WINDOW), grams(words.hashes(1), WINDOW, seed=WINDOW)
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    """A minimiser's place in the map of hot ones."""
+    return (mix(key ^ _U(0xA0761D6478BD642F)) & _U(HOT_BITS - 1)).astype(np.int64)
+
+
+def _equal_neighbours(data: bytes, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which windows, in the order of key, have the words of another with the same key; data has one space between words."""
+    again = np.zeros(len(key), bool)
+    same = np.flatnonzero(key[1:] == key[:-1])
+    text = lambda i: data[start[i] : end[i]]
+    alike = np.fromiter((text(i) == text(i + 1) for i in same.tolist()), bool, len(same))
+    again[same[alike]] = again[same[alike] + 1] = True
+    for i in same[~alike].tolist():  # different words with one hash: each of the key's windows is compared with all
+        a, b = int(np.searchsorted(key, key[i], "left")), int(np.searchsorted(key, key[i], "right"))
+        count = Counter(map(text, range(a, b)))
+        again[a:b] = [count[text(j)] > 1 for j in range(a, b)]
+    return again
 
 
 def _batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
@@ -86,11 +110,20 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     loads = docs.select("text").mapInArrow(_loads, "minimiser long, words long").groupBy("minimiser").agg(F.sum("words").alias("words"))
     loads = written(loads, "loads")
     total = loads.agg(F.sum("words")).first()[0] or 0
-    hot = np.sort(np.array([r[0] for r in loads.where(F.col("words") > max(HOT_WORDS, total // HOT_SHARE)).select("minimiser").collect()], np.int64).view(_U))
+    # fewer than HOT_SHARE of them, 8 bytes each
+    hot = loads.where(F.col("words") > max(HOT_WORDS, total // HOT_SHARE)).select("minimiser").toArrow().column(0).to_numpy().view(_U)
     buckets = max(1, total * 7 // BUCKET_BYTES)
-
-    def is_hot(key: np.ndarray) -> np.ndarray:
-        return np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
+    if len(hot) <= 1 << 16:
+        hot = np.sort(hot)
+        is_hot = (lambda key: np.isin(key, hot)) if len(hot) else (lambda key: np.zeros(len(key), bool))
+    else:
+        marks = np.zeros(HOT_BITS, bool)
+        marks[_place(hot)] = True
+        sent_marks = spark.sparkContext.broadcast(np.packbits(marks))  # HOT_BITS / 8 bytes
+
+        def is_hot(key: np.ndarray) -> np.ndarray:
+            at = _place(key)
+            return (sent_marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -148,29 +181,29 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     def counted(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """The repeated windows of one bucket."""
         loose = zstandard.ZstdDecompressor().decompress
-        one, two, of, pos, where = [], [], [], [], []
-        n_rows = 0
+        key, of, pos, where, start, end, data = [], [], [], [], [], [], []
+        n_rows = n_bytes = 0
         for packed, place in held:
             place = np.frombuffer(loose(place), np.int64).reshape(4, -1)
-            h = Words([loose(packed)], BLANK).hashes()
-            x, y = _window_hashes(h)
+            line = b" ".join(loose(packed).split())
+            words = Words([line], BLANK)
+            x = grams(words.hashes(), WINDOW)
             n_words = place[3] + (WINDOW - 1)
             first = np.cumsum(n_words) - n_words
             row = np.repeat(np.arange(len(n_words)), n_words)
             real = np.flatnonzero(row[: len(x)] == row[WINDOW - 1 : WINDOW - 1 + len(x)])
-            one.append(x[real])
-            two.append(y[real])
+            key.append(x[real])
+            start.append(words.start[real] + n_bytes)
+            end.append(words.end[real + WINDOW - 1] + n_bytes)
+            data.append(line)
+            n_bytes += len(line)
             of.append(row[real] + n_rows)
             pos.append(real - first[row[real]] + place[2][row[real]])
             where.append(place)
             n_rows += len(n_words)
-        x, y, of, pos, where = np.concatenate(one), np.concatenate(two), np.concatenate(of), np.concatenate(pos), np.concatenate(where, axis=1)
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-        again = np.zeros(len(x), bool)
-        again[1:] |= same
-        again[:-1] |= same
+        key, of, pos, where, start, end = np.concatenate(key), np.concatenate(of), np.concatenate(pos), np.concatenate(where, axis=1), np.concatenate(start), np.concatenate(end)
+        order = np.argsort(key, kind="stable")
+        again = _equal_neighbours(b"".join(data), start[order], end[order], key[order])
         got = np.sort(order[again])  # in the order of the super-k-mers and their windows
         at, first, last = _joined_ranges(of[got], pos[got])
         row = of[got][at]
@@ -193,7 +226,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
                     continue
                 at, n = at[own], n[own]
                 w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
-                x, y = _window_hashes(words.hashes())
+                x, y = _window_hashes(words)
                 row = np.searchsorted(words.first, w, "right") - 1
                 for k in range(0, len(w), 1 << 16):
                     p, r = w[k : k + (1 << 16)], row[k : k + (1 << 16)]

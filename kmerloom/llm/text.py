@@ -44,7 +44,9 @@ def _places(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
 
 
-_PLACE = _places(256)
+#: By seed: a number for each byte value, and for each place in a word.
+_BYTES = [_BYTE, mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95) + _U(0x632BE59BD9B4E019))]
+_PLACES = [_places(256), mix(_places(256)) | _U(1)]
 
 
 def pieces(texts: list, limit: int = PIECE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -84,18 +86,17 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """A hash of each word's bytes, the same wherever the word stands."""
-        global _PLACE
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word's bytes, the same wherever the word stands; those of the two seeds, 0 and 1, are independent."""
         if not len(self):
             return np.empty(0, _U)
         length = self.end - self.start
-        if (longest := int(length.max())) > len(_PLACE):
-            _PLACE = _places(2 * longest)
+        if (longest := int(length.max())) > len(_PLACES[seed]):
+            _PLACES[seed] = _places(2 * longest) if seed == 0 else mix(_places(2 * longest)) | _U(1)
         total = np.cumsum(length)
         place = np.arange(total[-1]) - np.repeat(total - length, length)
         at = place + np.repeat(self.start, length)
-        value = _BYTE[self.bytes[at]] * _PLACE[place]
+        value = _BYTES[seed][self.bytes[at]] * _PLACES[seed][place]
         return mix(np.add.reduceat(value, total - length) + length.astype(_U))
 
 

@@ -100,11 +100,18 @@ def brute_repeats(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", ["none", "all", "collisions"])
 def test_substrings(spark, monkeypatch, hot):
-    if hot:  # every minimiser
+    if hot == "all":  # every minimiser
         monkeypatch.setattr(substrings, "HOT_WORDS", 0)
         monkeypatch.setattr(substrings, "HOT_SHARE", 1 << 40)
+    if hot == "collisions":  # windows with one hash and different words
+        source = open(substrings.__file__).read()
+        assert "x = grams(words.hashes(), WINDOW)" in source
+        exec(compile(source.replace("x = grams(words.hashes(), WINDOW)", "x = grams(words.hashes(), WINDOW) % _U(7)").replace("from .", "from kmerloom.llm."), "<collisions>", "exec"), scope := {})
+        got = scope["digest"](scope["remove_repeats"](table(spark, BASE)))
+        assert Counter(map(tuple, got.collect())) == brute_repeats(BASE)
+        return
     passage = prose(60, 50)
     rows = [*BASE, (20, prose(40, 60) + "\n\n" + passage + "  " + prose(10, 61), "a"), (21, passage + " " + prose(50, 62), "a"), (22, "same " * 120, "a"), (23, prose(34, 63), "a"), (24, prose(34, 63), "a"), (25, prose(35, 64), "a"), (25, prose(35, 64), "a"), (None, prose(35, 64), "b"), (0, prose(36, 65), "b")]
     got = substrings.digest(substrings.remove_repeats(table(spark, rows)))
