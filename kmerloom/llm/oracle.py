@@ -56,7 +56,7 @@ def _op3() -> str:
 
     fits = [(v, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
     return f"""
-WITH p AS (SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS u,
+WITH p AS (SELECT page_id, translate(coalesce(try(url_decode(url)), url, ''), '{UPPER}', '{LOWER}') AS u,
   CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
   {terms(STRICT)} AS n_strict, {terms(SOFT)} AS n_soft FROM p)

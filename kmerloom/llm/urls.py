@@ -1,25 +1,32 @@
 """URL filters: host and path rules, then a weighted vocabulary.
 
 Rules decide where one fits; the longest wins.  Elsewhere the vocabulary does:
-one Aho-Corasick pass over the URL finds every strict and soft term, of which
-those count that stand alone, between other characters than a-z and 0-9.  One
-strict term rejects the URL, or SOFT_LIMIT different soft ones.
+one Aho-Corasick pass over the URL, its escapes decoded, finds every strict and
+soft term, of which those count that stand alone, between other characters than
+a-z and 0-9.  One strict term rejects the URL, or SOFT_LIMIT different soft ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Terms of either weight.
-STRICT = ["porn", "porno", "xxx", "hentai", "camgirls", "milf", "escorts", "nsfw", "sexcam", "warez", "keygen", "adult", "spam", "phishing", "malware"]
+#: Terms that reject by themselves.
+STRICT = [
+    "porn", "porno", "porns", "pornos", "pornhub", "pornstar", "pornstars", "pornography", "xxx", "xxxvideo", "xxxvideos", "hentai", "milf", "milfs", "camgirl", "camgirls", "sexcam", "sexcams",
+    "sexchat", "sexshop", "sextube", "sexvideo", "sexvideos", "nsfw", "adult-x", "x-rated", "adult-video", "adult-videos", "adult-movies", "adult-toys", "adults-only", "gangbang", "blowjob", "blowjobs", "creampie", "cumshot", "cumshots", "bdsm", "upskirt", "escortgirls", "escortservice",
+    "whores", "sluts", "pussy", "fuck", "fucking", "fucked", "shemale", "shemales", "warez", "keygen", "keygens", "crackz", "serialz", "phishing", "malware", "spyware", "adware", "ransomware", "spamfarm", "linkfarm",
+]
+#: Terms of which SOFT_LIMIT different ones reject.
 SOFT = [
-    "sex", "sexy", "nude", "naked", "erotic", "fetish", "hot", "girls", "dating", "hookup", "casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "win", "prize",
-    "free", "cheap", "viagra", "cialis", "pills", "pharmacy", "replica", "torrent", "crack", "cam", "cams", "webcam", "escort", "ads", "adserver", "track", "tracker", "click", "popup",
+    "adult", "adults", "xrated", "18plus", "sex", "sexy", "sexual", "nude", "nudes", "naked", "erotic", "erotica", "erotik", "fetish", "kinky", "lingerie", "hot", "girls", "babes", "teens", "amateur", "escort", "escorts", "cam", "cams", "webcam", "webcams", "dating", "hookup", "hookups", "singles",
+    "casino", "casinos", "bet", "bets", "betting", "bookmaker", "gambling", "poker", "roulette", "blackjack", "bingo", "slots", "slot", "jackpot", "lottery", "win", "winner", "prize", "prizes", "bonus", "free", "cheap", "discount", "deal", "deals", "coupon", "coupons", "viagra", "cialis", "levitra", "xanax", "tramadol",
+    "pill", "pills", "pharmacy", "pharma", "meds", "drugs", "steroids", "replica", "replicas", "fake", "loan", "loans", "payday", "credit", "crypto", "forex", "torrent", "torrents", "crack", "cracked", "cracks", "serial", "nulled", "download", "spam", "farm", "backlinks", "ads", "adserver", "banner", "banners", "track", "tracker", "tracking", "click", "clicks", "popup", "popups", "affiliate", "redirect",
 ]
 SOFT_LIMIT = 2
 #: (verdict, host, path); a rule fits its host and all subdomains, and paths that start with its own.
@@ -34,6 +41,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.coalesce(host, F.lit("")), UPPER, LOWER), F.coalesce(path, F.lit(""))
 
 
+def decoded(url: str) -> str:
+    """The URL without escapes; as it is if they are not UTF-8."""
+    try:
+        return unquote(url, errors="strict")
+    except UnicodeDecodeError:
+        return url
+
+
 def _terms(df: DataFrame, strict: list[str], soft: list[str]) -> DataFrame:
     """df with n_strict and n_soft, the different terms of either kind in column _url."""
     kinds = dict.fromkeys(soft, 1) | dict.fromkeys(strict, 0)
@@ -50,7 +65,7 @@ def _terms(df: DataFrame, strict: list[str], soft: list[str]) -> DataFrame:
         for batch in batches:
             found = []
             for url in batch.column(batch.schema.get_field_index("_url")).to_pylist():
-                url = (url or "").translate(table)
+                url = decoded(url or "").translate(table)
                 met: tuple[set, set] = (set(), set())
                 for end, (term, kind) in automaton.iter(url):
                     start = end - len(term)

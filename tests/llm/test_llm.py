@@ -465,3 +465,18 @@ def test_suffix_array():
     runs = [tuple(token[i : i + html.RUN]) for i in order]
     assert sorted(order.tolist()) == [i for i in range(len(token)) if i + html.RUN <= end[i]]
     assert runs == sorted(runs) and begins.tolist() == [i for i in range(len(runs)) if i == 0 or runs[i] != runs[i - 1]]
+
+
+def test_urls_of_every_kind(spark, monkeypatch):
+    """Escapes, terms within words, long and repeated URLs, rules of equal length, an empty table."""
+    rows = [
+        ("http://a.org/?u=http%3A%2F%2Fporn.org", "block"), ("http://a.org/%70orn", "block"), ("http://a.org/adult-education", "allow"), ("http://adult-x.a.org/", "block"), ("http://a.org/pornographer", "allow"), ("http://a.org/sussex/hotel", "allow"),
+        ("http://a.org/" + "x" * 200_000 + "/casino/win", "block"), ("http://a.org/casino/casino", "allow"), ("http://a.org/casino/bets", "block"), ("http://a.org/%zz%", "allow"), ("HTTP://A.ORG/XXX", "block"), ("http://a.org/casino/bets", "block"),
+    ]
+    pages = spark.createDataFrame([(i, u, "x", 1, 2) for i, (u, _) in enumerate(rows)], "page_id long, url string, host string, n_soft int, verdict int")
+    got = urls.url_verdicts(pages).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == [v for _, v in rows] and got[0]["host"] == "a.org"
+    assert urls.url_verdicts(pages.where("page_id < 0")).count() == 0
+    ties = [("block", "b.org", "/x"), ("allow", "b.org", "/y"), ("allow", "c.b.org", "/")]  # of equal length where both fit: none here
+    got = urls.url_verdicts(spark.createDataFrame([(1, "http://b.org/x/1"), (2, "http://c.b.org/y"), (3, "http://c.b.org/x")], "page_id long, url string"), rules=ties).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("b.org/x", "block"), ("c.b.org/", "allow"), ("c.b.org/", "allow")]
