@@ -1,7 +1,9 @@
-"""Column expressions over DNA: strings, packed k-mers and the likelihoods of genotypes.
+"""Column expressions over DNA: strings, k-mers and the likelihoods of genotypes.
 
-A packed k-mer is a long with two bits a base, A C G T = 0 1 2 3, the first base
-highest; k is odd and at most 31, so no k-mer is its own reverse complement.
+k is odd, so no k-mer is its own reverse complement.  Up to k = 31 a k-mer is a
+packed long with two bits a base, A C G T = 0 1 2 3, the first base highest;
+above that it is a string.  Both have the same order.  An oriented node is a
+k-mer on one of its strands: 2 * k-mer + strand, or the string as it reads there.
 Edges are a byte: bit b of the low four means that base b follows the k-mer as
 it stands, bit 4 + b that base b follows its reverse complement.
 """
@@ -12,14 +14,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The longest k-mer that a long holds, and the longest at all.
+PACKED, LONGEST = 31, 255
 
 
 def check_k(k: int) -> int:
-    if k % 2 == 0 or not 3 <= k <= 31:
-        raise ValueError(f"k must be odd and from 3 to 31, not {k}")
+    if k % 2 == 0 or not 3 <= k <= LONGEST:
+        raise ValueError(f"k must be odd and from 3 to {LONGEST}, not {k}")
     return k
 
 
+def kmer_type(k: int) -> str:
+    return "long" if k <= PACKED else "string"
+
+
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCATGCA"))
 
@@ -34,14 +42,18 @@ def text_to_dna(text: Column) -> Column:
     return F.translate(plain, _LETTERS + _LETTERS.lower() + "0123456789", ("ACGT" * 7)[:26] * 2 + "N" * 10)
 
 
-def packed_reverse_complement(x: Column, k: int) -> Column:
-    """The reverse complement of a packed k-mer: its bases from the last on, complemented."""
+_SWAPS = ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF))
+
 
-    def add(acc: Column, i: Column) -> Column:
-        base = F.call_function("shiftrightunsigned", x, 2 * i).bitwiseAND(F.lit(3))
-        return F.shiftleft(acc, 2).bitwiseOR(F.lit(3) - base)
+def packed_reverse_complement(x: Column, k: int) -> Column:
+    """The reverse complement of a packed k-mer: neighbouring bases, pairs and so on change places, then all bits turn.
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0).cast("long"), add)
+    x stands in it 32 times, so it should be a plain column.
+    """
+    for n, mask in _SWAPS:
+        x = F.shiftrightunsigned(x, n).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), n))
+    x = F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32))
+    return F.shiftrightunsigned(F.bitwise_not(x), 64 - 2 * k)
 
 
 def unpacked(x: Column, k: int) -> Column:
@@ -50,6 +62,33 @@ def unpacked(x: Column, k: int) -> Column:
     return F.concat(*bases)
 
 
+def kmer_text(kmer: Column, k: int) -> Column:
+    """A k-mer as a string, whatever its type."""
+    return unpacked(kmer, k) if k <= PACKED else kmer
+
+
+def node(kmer: Column, fw: Column, k: int) -> Column:
+    """An oriented node: a k-mer as it stands (fw), or its reverse complement."""
+    return kmer * 2 + fw.cast("long") if k <= PACKED else F.when(fw, kmer).otherwise(reverse_complement(kmer))
+
+
+def node_kmer(oriented: Column, k: int) -> Column:
+    return F.shiftright(oriented, 1) if k <= PACKED else canonical(oriented)
+
+
+def node_text(oriented: Column, k: int) -> Column:
+    """The bases of an oriented node."""
+    if k > PACKED:
+        return oriented
+    text = unpacked(F.shiftright(oriented, 1), k)
+    return F.when(oriented.bitwiseAND(F.lit(1)) == 1, text).otherwise(reverse_complement(text))
+
+
+def turned(oriented: Column, k: int) -> Column:
+    """The other strand of an oriented node."""
+    return oriented.bitwiseXOR(F.lit(1)) if k <= PACKED else reverse_complement(oriented)
+
+
 def exits(edges: Column, fw: Column) -> Column:
     """The four bits of the bases that follow a node on one strand."""
     return F.when(fw, edges.bitwiseAND(F.lit(15))).otherwise(F.shiftright(edges, 4).bitwiseAND(F.lit(15)))
@@ -64,12 +103,14 @@ def expected_depth(total_seq: Column, genome_size: Column, read_length: Column,
     return total_seq / genome_size * (read_length - k + 1) / read_length
 
 
-def log_likelihoods(c1: Column, c2: Column, theta1: Column, theta2: Column, error: float = 0.01) -> dict[str, Column]:
+def log_likelihoods(c1: Column, c2: Column, theta1: Column, theta2: Column, error: float = 0.01, ploidy: int = 2, halved_twice: bool = False) -> dict[str, Column]:
     """hom1, het and hom2 log-likelihoods of read counts on two branches.
 
     Homozygous: Poisson on the branch present, and an error for each read on the
     other beyond those that errors explain.  Heterozygous: Poisson at half the
-    depth on both.
+    depth on both; halved_twice: at a quarter, as where callers pass half the
+    depth already.  Haploid samples have no heterozygotes: the two homozygous
+    ones less 99999.
     """
 
     def poisson(c: Column, theta: Column) -> Column:
@@ -78,7 +119,12 @@ def log_likelihoods(c1: Column, c2: Column, theta1: Column, theta2: Column, erro
     def errors(c: Column, theta: Column) -> Column:
         return F.greatest(F.lit(0.0), c - error * theta) * F.log(F.lit(error))
 
-    return {"hom1": poisson(c1, theta1) + errors(c2, theta1), "het": poisson(c1, theta1 / 2) + poisson(c2, theta2 / 2), "hom2": poisson(c2, theta2) + errors(c1, theta2)}
+    if ploidy not in (1, 2):
+        raise ValueError("ploidy is 1 or 2")
+    hom1, hom2 = poisson(c1, theta1) + errors(c2, theta1), poisson(c2, theta2) + errors(c1, theta2)
+    part = 4 if halved_twice else 2
+    het = poisson(c1, theta1 / part) + poisson(c2, theta2 / part) if ploidy == 2 else hom1 + hom2 - 99999
+    return {"hom1": hom1, "het": het, "hom2": hom2}
 
 
 def genotype(hom1: Column, het: Column, hom2: Column, depth: Column) -> Column:

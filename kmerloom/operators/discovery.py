@@ -9,25 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import reverse_complement, unpacked
+from ..functions.dna import node, node_text, reverse_complement
 from .graph import kmers_of, union_of_colours
 from .unitigs import bubbles, bubbles_of, unitigs, written
 
 FLANK = 1000
 
 
-def _oriented(node: Column, k: int) -> Column:
-    """The bases of an oriented node, 2 * kmer + strand."""
-    text = unpacked(F.shiftright(node, 1), k)
-    return F.when(node.bitwiseAND(F.lit(1)) == 1, text).otherwise(reverse_complement(text))
-
-
 def with_flanks(found: DataFrame, paths: DataFrame, k: int, longest: int = FLANK) -> DataFrame:
     """Bubbles with flank5p and flank3p: the one path into the start, the one path on from the stop, at most longest bases beside the k-mer."""
     into = paths.where("dst_in = 1").select(F.element_at("kmers", -1).alias("start"), F.expr(f"right(seq, {longest + k})").alias("_5"))
     onward = paths.groupBy(F.col("kmers")[0].alias("stop")).agg(F.count("*").alias("_n"), F.min("seq").alias("_3")).where("_n = 1").select("stop", F.expr(f"substring(_3, {k + 1}, {longest})").alias("_3"))
     joined = found.join(into, "start", "left").join(onward, "stop", "left")
-    return joined.withColumns({"flank5p": F.coalesce("_5", _oriented(F.col("start"), k)), "flank3p": F.coalesce("_3", F.lit(""))}).drop("_5", "_3")
+    return joined.withColumns({"flank5p": F.coalesce("_5", node_text(F.col("start"), k)), "flank3p": F.coalesce("_3", F.lit(""))}).drop("_5", "_3")
 
 
 def numbered(variants: DataFrame) -> DataFrame:
@@ -113,7 +107,7 @@ def path_divergences(refs: DataFrame, sample: DataFrame, k: int, longest: int, a
     anchor3 = k if anchor3 is None else anchor3
     rows = written(unitigs(sample, k).select(F.xxhash64("seq", F.col("kmers")[0]).alias("path"), "seq", "kmers"))
     steps = rows.select("path", F.size("kmers").alias("n"), F.posexplode("kmers").alias("j", "node"))
-    places = kmers_of(refs.select("chrom", "seq"), k, "chrom").select(F.col("id").alias("chrom"), "pos", F.expr("kmer * 2 + CASE WHEN fw THEN 1 ELSE 0 END").alias("node"))
+    places = kmers_of(refs.select("chrom", "seq"), k, "chrom").select(F.col("id").alias("chrom"), "pos", node(F.col("kmer"), F.col("fw"), k).alias("node"))
     met = steps.join(places, "node").withColumn("diagonal", F.col("pos") - F.col("j"))
     order = Window.partitionBy("path", "chrom", "diagonal").orderBy("j")
     runs = met.withColumn("run", F.col("j") - F.row_number().over(order)).groupBy("path", "chrom", "diagonal", "run", "n")

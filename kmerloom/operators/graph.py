@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import check_k, exits, packed_reverse_complement
+from ..functions.dna import PACKED, check_k, exits, kmer_type, packed_reverse_complement, reverse_complement
 
-NODES = "kmer long, colour string, covg long, edges int"
 MOST = 4294967295  # coverage saturates
 _CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate(b"ACGT"):
@@ -30,21 +29,48 @@ def pack(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(fw, rc).view(np.int64), fw < rc
 
 
+_TURN = np.zeros(256, np.uint8)
+for _a, _b in zip(b"ACGTN", b"TGCAN", strict=True):
+    _TURN[_a] = _b
+
+
+def nodes_type(k: int) -> str:
+    return f"kmer {kmer_type(k)}, colour string, covg long, edges int"
+
+
+def canonical_kmers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(canonical k-mer, whether it stands as it is) at each place of an array of codes: packed, or as bytes where k is too long for that."""
+    if k <= PACKED:
+        return pack(codes, k)
+    letters = np.frombuffer(b"ACGTN", np.uint8)[codes]
+    view = np.lib.stride_tricks.sliding_window_view
+    fw = np.ascontiguousarray(view(letters, k)).view(f"S{k}").ravel()
+    rc = np.ascontiguousarray(view(_TURN[letters[::-1]], k)[::-1]).view(f"S{k}").ravel()
+    as_is = fw < rc
+    return np.where(as_is, fw, rc), as_is
+
+
+def _column(kmers: np.ndarray) -> pa.Array:
+    return pa.array(kmers) if kmers.dtype.kind == "i" else pa.array(kmers.tolist(), pa.binary()).cast(pa.string())
+
+
 def _counted(k: int):
+    piece = (1 << 22) if k <= PACKED else (1 << 17)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             colours, seqs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for colour in dict.fromkeys(colours):
                 data = "N".join(s for s, c in zip(seqs, colours, strict=True) if c == colour and s)
-                for at in range(0, max(1, len(data)), 1 << 22):  # pieces overlap by k + 1, which the middle of each leaves out
-                    yield from one(colour, data, at, min(len(data), at + (1 << 22)))
+                for at in range(0, max(1, len(data)), piece):  # pieces overlap by k + 1, which the middle of each leaves out
+                    yield from one(colour, data, at, min(len(data), at + piece))
 
     def one(colour: str, data: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
         left, right = max(0, start - 1), min(len(data), end + k)
         codes = _CODE[np.frombuffer(data[left:right].encode(), np.uint8)]
         if len(codes) < k:
             return
-        kmer, fw = pack(codes, k)
+        kmer, fw = canonical_kmers(codes, k)
         bad = np.concatenate(([0], np.cumsum(codes == 4)))
         good = bad[k:] == bad[:-k]
         follows, leads = np.zeros(len(kmer), bool), np.zeros(len(kmer), bool)
@@ -61,7 +87,7 @@ def _counted(k: int):
         at = np.flatnonzero(np.concatenate(([True], kmer[1:] != kmer[:-1]))) if len(kmer) else np.empty(0, np.int64)
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kmer[at]), pa.array([colour] * len(at), pa.string()), pa.array(np.diff(np.append(at, len(kmer)))), pa.array(np.bitwise_or.reduceat(edges, at).astype(np.int32))],
+                [_column(kmer[at]), pa.repeat(pa.scalar(colour, pa.string()), len(at)), pa.array(np.diff(np.append(at, len(kmer)))), pa.array(np.bitwise_or.reduceat(edges, at).astype(np.int32))],
                 ["kmer", "colour", "covg", "edges"],
             )
 
@@ -72,11 +98,15 @@ def build(contigs: DataFrame, k: int, colour: str = "sample") -> DataFrame:
     """nodes (kmer, colour, covg, edges) of contigs.
 
     K-mers are packed and counted by batch before they are shuffled, so a k-mer
-    that is everywhere costs one row a batch.
+    that is everywhere costs one row a batch.  A table of fewer partitions than
+    there are cores is dealt out first.
     """
     check_k(k)
-    parts = contigs.select(F.col(colour).cast("string").alias("colour"), "seq").mapInArrow(_counted(k), NODES)
-    return merge(parts)
+    rows = contigs.select(F.col(colour).cast("string").alias("colour"), "seq")
+    cores = contigs.sparkSession.sparkContext.defaultParallelism
+    if not contigs.isStreaming and rows.rdd.getNumPartitions() < cores * 2:
+        rows = rows.repartition(cores * 2)
+    return merge(rows.mapInArrow(_counted(k), nodes_type(k)))
 
 
 def merge(nodes: DataFrame) -> DataFrame:
@@ -112,12 +142,18 @@ def oriented_edges(graph: DataFrame, k: int) -> DataFrame:
     edge_in: the bit of dst's edges that leads back.
     """
     sides = graph.select("kmer", "edges", F.explode(F.array(F.lit(True), F.lit(False))).alias("src_fw"))
-    out = sides.select(F.col("kmer").alias("src"), "src_fw", exits(F.col("edges"), F.col("src_fw")).alias("bits"))
-    out = out.select("src", "src_fw", "bits", F.explode(F.array(*[F.lit(b) for b in range(4)])).alias("base")).where(F.expr("(bits >> base) & 1 = 1"))
-    seq = F.when(F.col("src_fw"), F.col("src")).otherwise(packed_reverse_complement(F.col("src"), k))
-    step = F.shiftleft(seq, 2).bitwiseAND(F.lit((1 << 2 * k) - 1)).bitwiseOR(F.col("base").cast("long"))
-    moved = out.withColumns({"_s": step, "_first": F.shiftrightunsigned(seq, 2 * k - 2).cast("int")})
-    moved = moved.withColumn("_r", packed_reverse_complement(F.col("_s"), k))
+    bits = sides.select("kmer", "src_fw", exits(F.col("edges"), F.col("src_fw")).alias("bits")).where("bits <> 0")
+    if k <= PACKED:
+        bits = bits.withColumn("_o", packed_reverse_complement(F.col("kmer"), k))
+        each = bits.select(F.col("kmer").alias("src"), "src_fw", F.when(F.col("src_fw"), F.col("kmer")).otherwise(F.col("_o")).alias("_q"), "bits", F.explode(F.array(*[F.lit(b) for b in range(4)])).alias("base")).where(F.expr("(bits >> base) & 1 = 1"))
+        step = F.shiftleft("_q", 2).bitwiseAND(F.lit((1 << 2 * k) - 1)).bitwiseOR(F.col("base").cast("long"))
+        moved = each.select("src", "src_fw", "base", step.alias("_s"), F.shiftrightunsigned("_q", 2 * k - 2).cast("int").alias("_first"))
+        moved = moved.withColumn("_r", packed_reverse_complement(F.col("_s"), k))
+    else:
+        bits = bits.withColumn("_q", F.when(F.col("src_fw"), F.col("kmer")).otherwise(reverse_complement(F.col("kmer"))))
+        each = bits.select(F.col("kmer").alias("src"), "src_fw", "_q", "bits", F.explode(F.array(*[F.lit(b) for b in range(4)])).alias("base")).where(F.expr("(bits >> base) & 1 = 1"))
+        moved = each.select("src", "src_fw", "base", F.expr("concat(substring(_q, 2), substring('ACGT', base + 1, 1))").alias("_s"), F.expr("instr('ACGT', left(_q, 1)) - 1").alias("_first"))
+        moved = moved.withColumn("_r", reverse_complement(F.col("_s")))
     fw = F.col("_s") < F.col("_r")
     back = F.expr("shiftleft(1, 3 - _first + CASE WHEN _s < _r THEN 4 ELSE 0 END)")
     return moved.select("src", "src_fw", "base", F.least("_s", "_r").alias("dst"), fw.alias("dst_fw"), back.alias("edge_in"))
@@ -138,11 +174,18 @@ def clean_orphan_edges(graph: DataFrame, k: int) -> DataFrame:
 
 
 def remove_low_coverage(nodes: DataFrame, threshold: int, k: int) -> DataFrame:
-    """Nodes whose coverage over all colours is above a threshold, without edges to the others."""
-    keep = nodes.groupBy("kmer").agg(F.sum("covg").alias("_c")).where(F.col("_c") > threshold).select("kmer")
-    kept = nodes.join(keep, "kmer", "left_semi")
-    whole = clean_orphan_edges(union_of_colours(kept), k).select("kmer", F.col("edges").alias("_e"))
-    return kept.join(whole, "kmer").withColumn("edges", F.col("edges").bitwiseAND(F.col("_e"))).drop("_e")
+    """Nodes whose coverage over all colours is above a threshold, without edges to the others.
+
+    Colours are gathered by k-mer once; only k-mers that have an edge to one that went are looked at again.
+    """
+    one = nodes.groupBy("kmer").agg(F.sum("covg").alias("_c"), F.bit_or("edges").alias("edges"), F.collect_list(F.struct("colour", "covg", "edges")).alias("_each"))
+    kept = one.where(F.col("_c") > threshold)
+    gone = one.where(F.col("_c") <= threshold).select("kmer", "edges")
+    # seen from the k-mers that went: the bit of the neighbour's edges that leads to them
+    bits = oriented_edges(gone, k).groupBy(F.col("dst").alias("kmer")).agg(F.bit_or("edge_in").alias("_b"))
+    cut = F.bitwise_not(F.coalesce("_b", F.lit(0)))
+    left = kept.join(bits, "kmer", "left").select("kmer", cut.alias("_m"), F.explode("_each").alias("x"))
+    return left.select("kmer", "x.colour", "x.covg", F.col("x.edges").bitwiseAND(F.col("_m")).alias("edges"))
 
 
 def degree(edges: Column, fw: Column) -> Column:
@@ -175,21 +218,23 @@ def colour_overlaps(nodes: DataFrame) -> DataFrame:
 
 
 def kmers_of(seqs: DataFrame, k: int, id_col: str) -> DataFrame:
-    """(id, pos, kmer, fw) of every k-mer of sequences without other letters than ACGT."""
+    """(id, pos, kmer, fw) of every k-mer of sequences without other letters than ACGT, a piece of a long sequence at a time."""
+    piece = (1 << 20) if k <= PACKED else (1 << 17)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = batch.schema.field(0).type
             for one, seq in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                codes = _CODE[np.frombuffer((seq or "").upper().encode(), np.uint8)]
-                if len(codes) < k:
-                    continue
-                kmer, fw = pack(codes, k)
-                bad = np.concatenate(([0], np.cumsum(codes == 4)))
-                good = np.flatnonzero(bad[k:] == bad[:-k])
-                yield pa.RecordBatch.from_arrays([pa.array([one.as_py()] * len(good), batch.schema.field(0).type), pa.array(good.astype(np.int32)), pa.array(kmer[good]), pa.array(fw[good])], ["id", "pos", "kmer", "fw"])
+                whole = _CODE[np.frombuffer((seq or "").upper().encode(), np.uint8)]
+                for start in range(0, len(whole) - k + 1, piece):
+                    codes = whole[start : start + piece + k - 1]
+                    kmer, fw = canonical_kmers(codes, k)
+                    bad = np.concatenate(([0], np.cumsum(codes == 4)))
+                    good = np.flatnonzero(bad[k:] == bad[:-k])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(one, len(good)).cast(kind), pa.array((good + start).astype(np.int32)), _column(kmer[good]), pa.array(fw[good])], ["id", "pos", "kmer", "fw"])
 
     kind = dict(seqs.dtypes)[id_col]
-    return seqs.select(id_col, "seq").mapInArrow(run, f"id {kind}, pos int, kmer long, fw boolean")
+    return seqs.select(id_col, "seq").mapInArrow(run, f"id {kind}, pos int, kmer {kmer_type(k)}, fw boolean")
 
 
 def align(seqs: DataFrame, nodes: DataFrame, k: int, id_col: str, colours: list[str]) -> DataFrame:
@@ -200,8 +245,13 @@ def align(seqs: DataFrame, nodes: DataFrame, k: int, id_col: str, colours: list[
 
 
 def pan_genome_matrix(genes: DataFrame, nodes: DataFrame, k: int, id_col: str) -> DataFrame:
-    """(id, colour, fraction, least): share of a gene's k-mers with coverage in a colour, to two places, and the least coverage among those found."""
+    """(id, colour, fraction, least): share of a gene's k-mers with coverage in a colour, to two places, and the least coverage among those found.
+
+    Every gene with a k-mer has a row for every colour of the graph: 0 and null where none is found.
+    """
     places = kmers_of(genes, k, id_col)
     sizes = places.groupBy("id").agg(F.count("*").alias("size"))
+    colours = nodes.select("colour").distinct().agg(F.array_sort(F.collect_list("colour")).alias("colours"))  # one row
+    every = sizes.crossJoin(F.broadcast(colours)).select("id", "size", F.explode("colours").alias("colour"))
     hits = places.join(nodes.where("covg > 0"), "kmer").groupBy("id", "colour").agg(F.count("*").alias("hits"), F.min("covg").alias("least"))
-    return hits.join(sizes, "id").select("id", "colour", F.round(F.col("hits") / F.col("size"), 2).alias("fraction"), "least")
+    return every.join(hits, ["id", "colour"], "left").select("id", "colour", F.round(F.coalesce("hits", F.lit(0)) / F.col("size"), 2).alias("fraction"), "least")

@@ -9,10 +9,14 @@ end; of the two the one with the lesser sequence is kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import reverse_complement, unpacked
+from ..functions.dna import kmer_type, node, node_kmer, node_text, reverse_complement
 from ..tables import written as _written
 from .graph import clean_orphan_edges, degree, oriented_edges
 
@@ -21,8 +25,8 @@ def written(df: DataFrame) -> DataFrame:
     return _written(df, "graph")
 
 
-def _node(kmer: str, fw: str):
-    return F.expr(f"{kmer} * 2 + CASE WHEN {fw} THEN 1 ELSE 0 END")
+#: Edges up to which paths are ranked in one task.
+SMALL = 1 << 20
 
 
 def paths(graph: DataFrame, k: int) -> DataFrame:
@@ -33,16 +37,20 @@ def paths(graph: DataFrame, k: int) -> DataFrame:
     edges) of one colour or of a union.
     """
     nodes = graph.select("kmer", "covg", degree(F.col("edges"), F.lit(True)).alias("a"), degree(F.col("edges"), F.lit(False)).alias("b"))
+    kind = kmer_type(k)
     side = lambda fw, x, y: F.when(F.col(fw), F.col(x)).otherwise(F.col(y))
     edges = oriented_edges(graph, k)
     edges = edges.join(nodes.select(F.col("kmer").alias("src"), F.col("a").alias("sa"), F.col("b").alias("sb")), "src")
     edges = edges.join(nodes.select(F.col("kmer").alias("dst"), "covg", "a", "b"), "dst")
     edges = written(
         edges.select(
-            _node("src", "src_fw").alias("src"), _node("dst", "dst_fw").alias("dst"), "base", "covg",
+            node(F.col("src"), F.col("src_fw"), k).alias("src"), node(F.col("dst"), F.col("dst_fw"), k).alias("dst"), "base", "covg",
             side("src_fw", "sa", "sb").alias("src_out"), side("src_fw", "sb", "sa").alias("src_in"), side("dst_fw", "a", "b").alias("dst_out"), side("dst_fw", "b", "a").alias("dst_in"),
         )
     )
+    if edges.count() <= SMALL:
+        schema = f"src {kind}, dst {kind}, base int, covg long, src_out int, src_in int, dst_out int, dst_in int, path struct<src: {kind}, base: int>, edge_no long"
+        return edges.coalesce(1).mapInArrow(_ranked_here, schema)
     # an edge is named by its node and base; the one before it, if any, ends where it starts
     named = edges.withColumn("edge", F.struct("src", "base"))
     before = edges.where("dst_in = 1 AND dst_out = 1").select(F.col("dst").alias("src"), F.struct("src", "base").alias("up"))
@@ -57,6 +65,37 @@ def paths(graph: DataFrame, k: int) -> DataFrame:
     return named.join(jump.select("edge", F.col("up").alias("path"), F.col("rank").alias("edge_no")), "edge").drop("edge")
 
 
+def _ranked_here(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a small graph with their path and place in it, by pointer jumping in memory."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).sort_by([("src", "ascending"), ("base", "ascending")])
+    names = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)[1]
+    n = table.num_rows
+    src, dst = names[:n], names[n:]
+    inner = np.flatnonzero((table.column("dst_in").to_numpy() == 1) & (table.column("dst_out").to_numpy() == 1))
+    into = np.full(names.max() + 1, -1)
+    into[dst[inner]] = inner
+    before = into[src]
+    up = np.where(before >= 0, before, np.arange(n))
+
+    def jumped(up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rank, least = (up != np.arange(n)).astype(np.int64), np.minimum(up, np.arange(n))
+        for _ in range(max(1, n).bit_length()):
+            rank, least, up = rank + rank[up], np.minimum(least, least[up]), up[up]
+        return up, rank, least
+
+    head, rank, least = jumped(up)
+    loops = up[head] != head
+    if loops.any():  # cut at the least edge
+        up = np.where(loops & (least == np.arange(n)), np.arange(n), up)
+        head, rank, least = jumped(up)
+    path = pa.StructArray.from_arrays([table.column("src").combine_chunks().take(pa.array(head)), table.column("base").combine_chunks().take(pa.array(head))], ["src", "base"])
+    out = table.append_column("path", path).append_column("edge_no", pa.array(rank))
+    yield from out.to_batches(max_chunksize=1 << 14)
+
+
 def _ranked(jump: DataFrame) -> DataFrame:
     """The first edge of each edge's chain and the steps to it; open: the chain has none."""
     count = jump.count()
@@ -81,9 +120,7 @@ def unitigs(graph: DataFrame, k: int) -> DataFrame:
     whole = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("edge_no", "base", "src", "dst", "covg", "src_in", "dst_in", "dst_out"))).alias("e"))
     inner = F.expr("transform(slice(e, 1, size(e) - 1), x -> x.covg)")
     start = F.col("e")[0]["src"]
-    oriented = F.shiftright(start, 1)
-    text = unpacked(oriented, k)
-    first = F.when(start.bitwiseAND(F.lit(1)) == 1, text).otherwise(reverse_complement(text))
+    first = node_text(start, k)
     out = whole.select(
         F.concat(first, F.expr("array_join(transform(e, x -> substring('ACGT', x.base + 1, 1)), '')")).alias("seq"), F.size("e").alias("n_edges"),
         F.when(F.size("e") > 1, F.expr("aggregate(slice(e, 1, size(e) - 1), 0L, (a, x) -> a + x.covg)") / (F.size("e") - 1)).alias("avg_covg"), F.array_min(inner).alias("min_covg"), F.array_max(inner).alias("max_covg"),
@@ -109,7 +146,7 @@ def length_distribution(found: DataFrame) -> DataFrame:
 
 
 def _without(graph: DataFrame, gone: DataFrame, k: int) -> DataFrame:
-    kept = graph.join(gone.select(F.explode("kmers").alias("_n")).select(F.shiftright("_n", 1).alias("kmer")).distinct(), "kmer", "left_anti")
+    kept = graph.join(gone.select(F.explode("kmers").alias("_n")).select(node_kmer(F.col("_n"), k).alias("kmer")).distinct(), "kmer", "left_anti")
     return clean_orphan_edges(kept, k)
 
 
@@ -129,7 +166,7 @@ def remove_low_coverage_supernodes(graph: DataFrame, k: int, threshold: int) ->
 def novel_contigs(graph: DataFrame, others: DataFrame, k: int, least_length: int, least_percent: int) -> DataFrame:
     """(seq, percent): paths of at least so many bases whose inner nodes are absent from others (kmer) in at least so many integer percent."""
     found = once(unitigs(graph, k)).where(F.length("seq") >= least_length).select("seq", F.expr("explode_outer(slice(kmers, 2, size(kmers) - 2))").alias("_n"))
-    held = found.withColumn("kmer", F.shiftright("_n", 1)).join(others.select("kmer", F.lit(1).alias("_h")).distinct(), "kmer", "left")
+    held = found.withColumn("kmer", node_kmer(F.col("_n"), k)).join(others.select("kmer", F.lit(1).alias("_h")).distinct(), "kmer", "left")
     counted = held.groupBy("seq").agg(F.count("_n").alias("n"), F.count(F.when(F.col("_n").isNotNull() & F.col("_h").isNull(), 1)).alias("new"))
     return counted.where("n > 0").select("seq", F.expr("cast(100 * new div n AS int)").alias("percent")).where(F.col("percent") >= least_percent)
 
@@ -146,10 +183,10 @@ def bubbles(graph: DataFrame, k: int) -> DataFrame:
 
 def bubbles_of(paths_: DataFrame, k: int) -> DataFrame:
     """The bubbles among paths that unitigs() gave."""
-    inner = F.expr("transform(slice(kmers, 2, size(kmers) - 2), x -> shiftright(x, 1))")
+    inner = F.transform(F.expr("slice(kmers, 2, size(kmers) - 2)"), lambda x: node_kmer(x, k))
     rows = paths_.select(F.col("kmers")[0].alias("start"), F.element_at("kmers", -1).alias("stop"), F.struct(F.expr(f"substring(seq, {k + 1})").alias("branch"), inner.alias("inner")).alias("b"))
     pair = rows.groupBy("start", "stop").agg(F.array_sort(F.collect_list("b")).alias("b")).where("size(b) > 1")
     one = Window.partitionBy("start").orderBy("branch1", "branch2")
     cell = lambda i, f: F.col("b")[i][f].alias(f"{f}{i + 1}")
     found = pair.select("start", cell(0, "branch"), cell(1, "branch"), "stop", cell(0, "inner"), cell(1, "inner")).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return found.where(F.shiftright("start", 1) <= F.shiftright("stop", 1))
+    return found.where(node_kmer(F.col("start"), k) <= node_kmer(F.col("stop"), k))
