@@ -103,7 +103,7 @@ def expected_depth(total_seq: Column, genome_size: Column, read_length: Column,
     return total_seq / genome_size * (read_length - k + 1) / read_length
 
 
-def log_likelihoods(c1: Column, c2: Column, theta1: Column, theta2: Column, error: float = 0.01, ploidy: int = 2, halved_twice: bool = False) -> dict[str, Column]:
+def log_likelihoods(c1: Column, c2: Column, theta1: Column, theta2: Column, error: float | Column = 0.01, ploidy: int = 2, halved_twice: bool = False) -> dict[str, Column]:
     """hom1, het and hom2 log-likelihoods of read counts on two branches.
 
     Homozygous: Poisson on the branch present, and an error for each read on the
@@ -117,8 +117,9 @@ def log_likelihoods(c1: Column, c2: Column, theta1: Column, theta2: Column, erro
         return c * F.log(theta) - theta - log_factorial(c)
 
     def errors(c: Column, theta: Column) -> Column:
-        return F.greatest(F.lit(0.0), c - error * theta) * F.log(F.lit(error))
+        return F.greatest(F.lit(0.0), c - rate * theta) * F.log(rate)
 
+    rate = error if isinstance(error, Column) else F.lit(error)
     if ploidy not in (1, 2):
         raise ValueError("ploidy is 1 or 2")
     hom1, hom2 = poisson(c1, theta1) + errors(c2, theta1), poisson(c2, theta2) + errors(c1, theta2)

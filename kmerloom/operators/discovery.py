@@ -73,13 +73,16 @@ def read_callfile(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("var_id <> ''").groupBy("var_id").agg(*[F.max(F.when(F.col("part") == p, F.col("seq"))).alias(c) for c, p in names.items()])
 
 
-def allele_coverages(variants: DataFrame, nodes: DataFrame, k: int, colours: list[str]) -> DataFrame:
+def allele_coverages(variants: DataFrame, nodes: DataFrame, k: int, colours: list[str], closed: bool = False) -> DataFrame:
     """(var_id, colour, covgs1, covgs2): coverage of each inner k-mer of either branch, in order, 0 where a colour has none.
 
-    A branch's inner k-mers are those with a base of it that do not lie wholly in a flank.
+    A branch's inner k-mers are those with a base of it that do not lie wholly in
+    a flank; those of closed branches, which end with the k-mer they meet at, all
+    but that.
     """
-    whole = lambda b: F.concat(F.expr(f"right(flank5p, {k})"), b, F.expr(f"left(flank3p, {k})"))
-    two = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), whole(F.col(f"branch{i}")).alias("seq"), F.length(f"branch{i}").alias("n")) for i in (1, 2)])).alias("x")
+    after = F.lit("") if closed else F.expr(f"left(flank3p, {k})")
+    whole = lambda b: F.concat(F.expr(f"right(flank5p, {k})"), F.expr(f"left({b}, length({b}) - 1)") if closed else F.col(b), after)
+    two = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), whole(f"branch{i}").alias("seq"), F.length(f"branch{i}").alias("n")) for i in (1, 2)])).alias("x")
     seqs = variants.select("var_id", two).select(F.struct("var_id", F.col("x.which").alias("which")).alias("key"), F.col("x.seq").alias("seq"))
     flat = seqs.select(F.to_json("key").alias("id"), "seq")
     places = kmers_of(flat, k, "id").where("pos > 0")

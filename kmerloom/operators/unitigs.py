@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import kmer_type, node, node_kmer, node_text, reverse_complement
+from ..functions.dna import PACKED, kmer_type, node, node_kmer, node_text, reverse_complement
 from ..tables import written as _written
 from .graph import clean_orphan_edges, degree, oriented_edges
 
@@ -130,8 +130,12 @@ def unitigs(graph: DataFrame, k: int) -> DataFrame:
 
 
 def once(found: DataFrame) -> DataFrame:
-    """Of the two directions of each path, the lesser sequence."""
-    return found.where(F.col("seq") <= reverse_complement(F.col("seq"))).dropDuplicates(["seq"])
+    """Of the two directions of each path, the lesser sequence.  A loop's two directions are cut at different places; its least k-mer tells that they are one."""
+    lines = found.where(~F.col("is_cycle") & (F.col("seq") <= reverse_complement(F.col("seq")))).dropDuplicates(["seq"])
+    k = PACKED if dict(found.dtypes)["kmers"] == "array<bigint>" else PACKED + 1
+    loops = found.where("is_cycle").withColumn("_least", F.array_min(F.transform("kmers", lambda x: node_kmer(x, k))))
+    first = loops.groupBy("_least").agg(F.min("seq").alias("seq"))
+    return lines.unionByName(loops.join(first, ["_least", "seq"], "left_semi").dropDuplicates(["_least"]).drop("_least"))
 
 
 def n50(found: DataFrame, k: int) -> DataFrame:
@@ -163,6 +167,50 @@ def remove_low_coverage_supernodes(graph: DataFrame, k: int, threshold: int) ->
     return _without(clipped, poor.select(F.expr("slice(kmers, 2, size(kmers) - 2)").alias("kmers")), k)
 
 
+def prune(graph: DataFrame, gone: DataFrame, k: int) -> DataFrame:
+    """The graph without some k-mers and without edges to them, whatever their coverage."""
+    return clean_orphan_edges(graph.join(gone.select("kmer").distinct(), "kmer", "left_anti"), k)
+
+
+def _without_inner(graph: DataFrame, found: DataFrame, k: int, most: int | None) -> DataFrame:
+    """The graph without the inner nodes of paths, those of at most so much coverage if that is said."""
+    inner = found.select(F.explode(F.expr("slice(kmers, 2, size(kmers) - 2)")).alias("_n")).select(node_kmer(F.col("_n"), k).alias("kmer")).distinct()
+    gone = inner if most is None else inner.join(graph.where(F.col("covg") <= most).select("kmer"), "kmer", "left_semi")
+    return prune(graph, gone, k)
+
+
+def remove_poor_supernodes(graph: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Tips clipped, then of paths whose inner nodes have a mean coverage below the threshold the inner nodes of at most that coverage removed."""
+    clipped = written(clip_tips(graph, k))
+    return _without_inner(clipped, unitigs(clipped, k).where(F.col("avg_covg") < threshold), k, threshold)
+
+
+def remove_likely_errors(graph: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The graph without the inner nodes of paths that look more like errors than like poor sampling.
+
+    Those are paths of at most k + 1 inner nodes with coverage up to the threshold
+    on all, and of at most 2 (k + 1) with up to one more.
+    """
+    n = F.size("kmers") - 2
+    short, longer = (n <= k + 1) & (F.col("max_covg") <= threshold), (n <= 2 * (k + 1)) & (F.col("max_covg") <= threshold + 1)
+    return _without_inner(graph, unitigs(graph, k).where(short | longer), k, None)
+
+
+def smooth_bubbles(graph: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The graph with one branch of each bubble: a branch whose nodes have at most the threshold's coverage goes if the other's have more.
+
+    Of two poor branches the one with less coverage at its best node goes, of
+    equal ones the second.
+    """
+    found = bubbles(graph, k).withColumn("_b", F.monotonically_increasing_id())
+    found = written(found.select("_b", "inner1", "inner2"))
+    sides = found.select("_b", F.posexplode(F.array("inner1", "inner2")).alias("which", "inner")).select("_b", "which", F.explode("inner").alias("kmer"))
+    best = sides.join(graph.select("kmer", "covg"), "kmer").groupBy("_b", "which").agg(F.max("covg").alias("best"))
+    worse = best.groupBy("_b").agg(F.min(F.struct("best", (-F.col("which")).alias("w"))).alias("m"), F.count("*").alias("n")).where((F.col("n") == 2) & (F.col("m.best") <= threshold))
+    gone = sides.join(worse.select("_b", (-F.col("m.w")).alias("which")), ["_b", "which"], "left_semi")
+    return prune(graph, gone, k)
+
+
 def novel_contigs(graph: DataFrame, others: DataFrame, k: int, least_length: int, least_percent: int) -> DataFrame:
     """(seq, percent): paths of at least so many bases whose inner nodes are absent from others (kmer) in at least so many integer percent."""
     found = once(unitigs(graph, k)).where(F.length("seq") >= least_length).select("seq", F.expr("explode_outer(slice(kmers, 2, size(kmers) - 2))").alias("_n"))
