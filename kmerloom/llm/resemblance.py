@@ -4,8 +4,8 @@ A text is the set of its shingles, and equal sets are one class.  Pairs of
 classes are proposed in three ways and verified on the sets:
 
 * SimHash fingerprints of the shingles that link by anchor-point covering;
-* classes that agree in all minima of a band, with the two that come first and
-  last of the band, and those not joined yet in further bands;
+* classes that agree in all minima of a band: in some bands with the two that come
+  first and last, in all with one that shares most of its shingles;
 * pairs of classes in a band that these links have not joined, if they can be
   alike: shingles that no other class in such a band has are in no intersection,
   so a class with many of them is like few others, or none.
@@ -33,10 +33,8 @@ from .simhash import BITS, near_links
 from .text import BLANK, Words, grams, mix, pieces
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 25, 4
-#: Bands by which classes are compared with the first and last of a band, round by round.
-ROUNDS = ((0, 3), (3, 8))
-#: Rounds in which classes are compared with a hub of each band.
-HUBS = 3
+#: Bands by which classes are compared with the first and last of a band.
+FIRST = 4
 #: Longs of a signature, and the equal minima that a pair must have: five deviations below what similarity LEAST leads to expect.
 LONGS = -(-BANDS * ROWS // 16)
 _EXPECTED = LEAST + (1 - LEAST) / 16
@@ -176,9 +174,9 @@ def _can_be_alike(n: Column, m: Column, s: Column, t: Column) -> Column:
     return both >= LEAST * (n + m - both)
 
 
-def _with_hub(held: DataFrame, turn: int) -> DataFrame:
+def _with_hub(held: DataFrame) -> DataFrame:
     """Pairs of each class with a hub of its band: one of those that share most of their shingles, so that most are like it."""
-    hub = F.struct(F.round(F.col("shared") / F.col("n"), 2).alias("r"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "n", "shared")
+    hub = F.struct(F.round(F.col("shared") / F.col("n"), 2).alias("r"), F.xxhash64("node").alias("h"), "node", "root", "n", "shared")
     hubs = held.groupBy("band").agg(F.max(hub).alias("hub"))
     both = held.join(hubs, "band").where((F.col("hub.root") != F.col("root")) & _can_be_alike(F.col("n"), F.col("hub.n"), F.col("shared"), F.col("hub.shared")))
     return both.select(F.col("node").alias("x"), F.col("hub.node").alias("y"))
@@ -235,12 +233,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one = texts.join(of, texts["doc_id"].eqNullSafe(of["_id"]) & (texts["hash"] == of["_of"]), "left_semi").dropDuplicates(["doc_id", "hash"])
     sets = written(one.select("text").mapInArrow(_sets_of, "node long, shingles binary"), "sets")
     links = _verified(near, sets)
-    for first, last in ROUNDS:
-        links = links.unionByName(_verified(_ordered(_with_ends(_held(met.where(f"k >= {first} AND k < {last}"), links))), sets))
-    measures = written(_measures(written(_held(met, links), "held"), sets), "measures")
-    for turn in range(HUBS):
-        links = links.unionByName(_verified(_ordered(_with_hub(_held(met, links).join(measures, "node"), turn)), sets))
-    links = links.unionByName(_verified(_ordered(_across(written(_held(met, links).join(measures, "node").join(classes.select("node", "bands", "sig"), "node"), "held"))), sets))
+    links = links.unionByName(_verified(_ordered(_with_ends(_held(met.where(f"k < {FIRST}"), links))), sets))
+    held = written(_held(met, links), "held")
+    measures = written(_measures(held, sets), "measures")
+    links = links.unionByName(_verified(_ordered(_with_hub(held.join(measures, "node"))), sets))
+    left = _held(met, links).join(measures, "node").join(classes.select("node", "bands", "sig"), "node")
+    links = links.unionByName(_verified(_ordered(_across(written(left, "held"))), sets))
     grouped = classes.join(connected_components(links), "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_of"))
     one = docs.withColumn("_hash_of_text", hashed)
