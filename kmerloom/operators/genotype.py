@@ -99,7 +99,7 @@ def regenotyped(variants: DataFrame, nodes: DataFrame, samples: DataFrame, k: in
 def sample_columns(calls: DataFrame, colours: list[str]) -> DataFrame:
     """(var_id, one column for each colour: GT:COV:GT_CONF) of regenotyped variants, as a VCF's sample cells."""
     gt = F.when(F.col("gt") == "HOM1", "0/0").when(F.col("gt") == "HET", "0/1").when(F.col("gt") == "HOM2", "1/1").otherwise("./.")
-    cell = F.concat_ws(":", gt, F.concat_ws(",", F.col("c1").cast("string"), F.col("c2").cast("string")), F.coalesce(F.format_string("%.2f", F.col("gt_conf")), F.lit(".")))
+    cell = F.concat_ws(":", gt, F.concat_ws(",", F.col("c1").cast("string"), F.col("c2").cast("string")), F.when(F.col("gt_conf").isNull(), ".").otherwise(F.format_string("%.2f", F.col("gt_conf"))))
     return calls.withColumn("_c", cell).groupBy("var_id").pivot("colour", colours).agg(F.first("_c"))
 
 
