@@ -480,3 +480,55 @@ def test_urls_of_every_kind(spark, monkeypatch):
     ties = [("block", "b.org", "/x"), ("allow", "b.org", "/y"), ("allow", "c.b.org", "/")]  # of equal length where both fit: none here
     got = urls.url_verdicts(spark.createDataFrame([(1, "http://b.org/x/1"), (2, "http://c.b.org/y"), (3, "http://c.b.org/x")], "page_id long, url string"), rules=ties).orderBy("page_id").collect()
     assert [(r["rule"], r["verdict"]) for r in got] == [("b.org/x", "block"), ("c.b.org/", "allow"), ("c.b.org/", "allow")]
+
+
+def test_stages_take_rows_as_they_are(spark, tmp_path):
+    """Nulls in any column, repeated ids and rows, empty and very long texts, other columns, no documents."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, prose(60, 40 + i), "en", "ab"[i % 2], 3) for i in range(30)]
+    rows += [(None, None, None, None, None), (None, "", "en", None, 0), (7, prose(70, 200), "en", "a", 1), (7, prose(70, 201), "en", "a", 1), (7, prose(70, 201), "en", "a", 1), (None, LONG, "en", "b", None), (None, LONG, "en", "b", None), (99, prose(20_000, 300), None, "b", 9)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, `_slot` long, score double, `_hash_of_text` string, node long"
+    docs = spark.createDataFrame([(*r, 5, 0.5, "x", 4) for r in rows], columns)
+    spark.createDataFrame([(1, prose(30, 900)), (2, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(30)] + [(None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    empty = docs.where("doc_id = -1")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == pipeline.COLUMNS and stage(spark, empty, str(tmp_path)).count() == 0, name
+        got = Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect())
+        all_rows = Counter((r[0], r[1], r[3]) for r in rows)
+        assert not got - all_rows, name
+        if name in ("decontamination", "mixing"):
+            assert got == all_rows, name
+        if name == "near_dedup":  # texts without words, the two equal ones of id 7 and the two long ones are groups
+            assert sum(got.values()) == len(rows) - 3
+    mixed = pipeline.mixing(spark, docs, str(tmp_path))
+    mixed.write.parquet(str(tmp_path / "mixed.parquet"))
+    held = spark.read.parquet(str(tmp_path / "mixed.parquet"))
+    lists = [[tuple(r) for r in pipeline.tokens(spark, d, str(tmp_path)).orderBy("position").collect()] for d in (held, docs)]
+    assert len(lists[0]) == len(rows) and [r[1] for r in lists[0]] == [r[0] for r in mixed.collect()]
+    assert Counter(r[1:2] + r[3:] for r in lists[0]) == Counter(r[1:2] + r[3:] for r in lists[1])
+    assert pipeline.tokens(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_order_minhash_by_plain_loops():
+    """The same sketch from k-mers, numbers and places written out."""
+    for text in ["", "a", "abcdefgh", "abcdefghi", prose(40, 3), "ab" * 100, prose(300, 4) + " \U0001F600 " + prose(20, 5), prose(30, 6) * 5]:
+        points = [ord(c) for c in text]
+        out = [0] * ordermin.BINS
+        if points:
+            k = min(ordermin.K, len(points))
+            seen, bins = Counter(), {}
+            for at in range(len(points) - k + 1):
+                h = int(ordermin.grams(np.array(points[at : at + k], np.uint64), k)[0]) >> 20
+                number = seen[h]
+                seen[h] += 1
+                mixed = int(ordermin.mix(np.array([(h * 0x9E3779B97F4A7C15 + number * 0xC2B2AE3D27D4EB4F + 1) % 2**64], np.uint64))[0]) >> 20
+                bins.setdefault(mixed * ordermin.BINS >> 44, []).append((mixed, at))
+            for b, held in bins.items():
+                least = sorted(sorted(held)[: ordermin.L], key=lambda x: x[1])
+                value = 0
+                for j in range(ordermin.L):
+                    value = int(ordermin.mix(np.array([(value * 0x9E3779B97F4A7C15 + (least[j][0] + 1 if j < len(least) else 0)) % 2**64], np.uint64))[0])
+                out[b] = max(1, value >> 48)
+        assert ordermin.sketch(text).tolist() == out, text[:20]
