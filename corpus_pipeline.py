@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.  The mix is in the order of the rows: the files
+return the columns of documents, and no others that docs may have.  Rows are told
+apart as rows: ids may be null or stand on several, texts may be null, empty or
+of any length, and equal rows are rows of their own, but for near_dedup, which is
+there to drop them.  Without rows each stage has none.  The mix is in the order of the rows: the files
 that mixing writes, and the rows within them, are in the order of the schedule,
 and the last stage writes the tokens in that order.
 """
@@ -10,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,44 +35,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold."""
+    """Documents whose score is below the threshold; null and empty texts have the score of no windows, ties with the threshold go."""
     model = fit_labels(docs, _table(spark, sf_dir, "labels"))
     return scored(docs.select(*COLUMNS), model, score_col="_score").where(F.col("_score") < THRESHOLD).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, five-word shingles at similarity 0.8 or more: the one with the smallest doc_id."""
+    """One row of each group of near-duplicates, five-word shingles at similarity 0.8 or more: the one with the smallest doc_id.
+
+    SimHash anchors propose the nearest pairs, bands of minima the others, and all
+    are verified on the shingles.  Null ids come last; texts without words are one
+    group.
+    """
     return one_of_each(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return decontaminated(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their rows in the order of the mix."""
+    """All documents, their rows in the order of the mix; a null source is a source of its own."""
     placed = mixed(docs.select(*COLUMNS))
     return placed.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(position, doc_id, start, n_tokens, ids_crc32) of each document, from token files in the order of docs' files and rows."""
-    if "_metadata" in _readable(docs):
-        order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    """(position, doc_id, start, n_tokens, ids_crc32) of each document, from token files in the order of the mix.
+
+    That is the order of docs' files, by their numbers, and of the rows in them;
+    docs that do not come from files are mixed again.
+    """
+    if _from_files(docs):
+        number = lambda name: F.coalesce(F.regexp_extract("_metadata.file_name", f"{name}(\\d+)", 1).try_cast("long"), F.lit(0))
+        order = [number("part-"), number("-c"), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
     else:
-        order = None
+        docs = mixed(docs.select(*COLUMNS))
+        order = [F.col("_slot"), F.col("_place")]
     return token_files(docs, q.tokenizer_path("byte_bpe_50k.json"), q.END_ID, order=order, remembered=REMEMBERED)
 
 
-def _readable(docs: DataFrame) -> list[str]:
-    """Files' hidden column, where docs comes straight from files."""
-    from pyspark.errors import AnalysisException
-
+def _from_files(docs: DataFrame) -> bool:
+    """Whether docs has files' hidden columns, as what comes straight from files does."""
     try:
-        return docs.select("_metadata.file_name", "_metadata.row_index").columns and ["_metadata"]
+        return bool(docs.select("_metadata.file_name", "_metadata.row_index").columns)
     except AnalysisException:
-        return []
+        return False
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
