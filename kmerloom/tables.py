@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Delete the table of a DataFrame that written() gave and that nothing reads any more."""
     _remove(df.sparkSession, df._kmerloom_table)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, what is run sends Python so many rows at a time: for rows of several kilobytes, which fill memory by the default number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
