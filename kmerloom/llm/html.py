@@ -204,8 +204,8 @@ def _stream(texts: list[str], places: list[int]) -> int:
 
 
 def _hashes(token: list[int]) -> np.ndarray:
-    """A hash of 56 bits of each run, by its first token."""
-    return mix(grams(np.array(token, _U), RUN)) >> _U(8)
+    """A hash of 48 bits of each run, by its first token."""
+    return mix(grams(np.array(token, _U), RUN)) >> _U(16)
 
 
 def _token(word: str) -> int:
