@@ -1,5 +1,5 @@
 """Tables in the shared folder; see kmerloom.tables."""
 
-from ..tables import dropped, new_path, shared_dir, written
+from ..tables import batches_of, dropped, new_path, shared_dir, written
 
-__all__ = ["dropped", "new_path", "shared_dir", "written"]
+__all__ = ["batches_of", "dropped", "new_path", "shared_dir", "written"]

@@ -43,6 +43,8 @@ SEGMENT, REPEAT = 16, 6
 #: Turns; the shares of a document's windows that training takes, and the distance they must have.
 TURNS, TOXIC_SHARE, HARD_SHARE, FAR = 9, 0.03, 0.02, 4
 THRESHOLD = 0.3
+#: Texts that are scored together.
+TOGETHER = 1000
 _CLEAN = bytes(0x20 if SYMBOL[b] and not 0x41 <= b <= 0x5A else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _N_FIGURES = 8
 
@@ -241,8 +243,10 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_c
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            figures = np.array([model.figures(t) for t in batch.column(at).cast(pa.large_binary()).to_pylist()]).reshape(-1, _N_FIGURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(figures))], [*batch.schema.names, score_col])
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(start, TOGETHER)
+                figures = np.array([model.figures(t) for t in part.column(at).cast(pa.large_binary()).to_pylist()]).reshape(-1, _N_FIGURES)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(figures))], [*batch.schema.names, score_col])
 
     fields = out.schema
     return out.mapInArrow(run, type(fields)([*fields.fields]).add(score_col, "double"))
