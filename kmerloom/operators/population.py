@@ -91,11 +91,26 @@ def classify(sites: DataFrame, ploidy: int = 2, error: float = 0.01, balance: fl
     return out.withColumns({"model": model, "confidence": ranked[0] - ranked[1]}).drop("_n", "_s1", "_s2", "_cov", "_one", "_per", "_f", "_lf", "_prior")
 
 
-def site_genotypes(alleles: DataFrame, depth: float, read_length: int, error: float = 0.01) -> DataFrame:
+def net_llk(counts: list[Column], rate: Column, total_length: Column, cleaned: bool = False) -> Column:
+    """The log-likelihood of errors one, two and three changes away from a genotype's alleles: Poisson, each only where there are some.
+
+    rate: of errors a base.  In a cleaned graph an error must have been made twice, so the rates are squared.
+    """
+    out = F.lit(0.0)
+    for power, count in enumerate(counts, 1):
+        mean = F.pow(rate, F.lit(float(power * (2 if cleaned else 1)))) * total_length
+        out = out + F.when(count > 0, -mean + count * F.log(mean) - log_gamma(count + 1)).otherwise(0.0)
+    return out
+
+
+def site_genotypes(alleles: DataFrame, depth: float, read_length: int, error: float = 0.01, nets: DataFrame | None = None, total_length: int = 0, cleaned: bool = False, trailing_doubled: bool = False) -> DataFrame:
     """(site, first, second, llk): each genotype first <= second of each site, from alleles (site, allele, reads: on what it has of its own, nodes: their number, shared: reads on the part all alleles share, shared_nodes).
 
-    Poisson on the part of each allele of the genotype, at its number of copies;
-    reads on other alleles are errors; the shared part is at two copies.
+    Poisson on the part of each allele of the genotype, at its number of copies.
+    Reads on other alleles are errors, at a flat rate; or, with nets (site, first,
+    second, n1_net, n2_net, n3_net: errors one to three changes away), by net_llk.  The shared
+    part is at two copies; trailing_doubled: at one, as where only a trailing
+    shared part is at two.
     """
     rate = depth / read_length / 2
     both = alleles.select("site", F.col("allele").alias("second"), F.col("reads").alias("r2"), F.col("nodes").alias("n2"))
@@ -103,13 +118,17 @@ def site_genotypes(alleles: DataFrame, depth: float, read_length: int, error: fl
     pairs = alleles.select("site", F.col("allele").alias("first"), F.col("reads").alias("r1"), F.col("nodes").alias("n1")).join(both, "site").where("first <= second").join(totals, "site")
 
     def chunk(c: Column, n: Column, copies: int) -> Column:
-        return F.when(n > 0, c * F.log(n * (rate * copies)) - n * (rate * copies) - log_gamma(c + 1)).otherwise(0.0)
+        return F.when(n > 0, c * F.log(F.greatest(n, F.lit(1)) * (rate * copies)) - n * (rate * copies) - log_gamma(c + 1)).otherwise(0.0)
 
     same = F.col("first") == F.col("second")
     own = F.when(same, chunk(F.col("r1"), F.col("n1"), 2)).otherwise(chunk(F.col("r1"), F.col("n1"), 1) + chunk(F.col("r2"), F.col("n2"), 1))
-    other = F.col("all") - F.when(same, F.col("r1")).otherwise(F.col("r1") + F.col("r2"))
-    llk = own + chunk(F.col("shared"), F.col("shared_nodes"), 2) + other * math.log(error)
-    return pairs.select("site", "first", "second", llk.alias("llk"))
+    shared = chunk(F.col("shared"), F.col("shared_nodes"), 1 if trailing_doubled else 2)
+    if nets is None:
+        wrong = (F.col("all") - F.when(same, F.col("r1")).otherwise(F.col("r1") + F.col("r2"))) * math.log(error)
+    else:
+        pairs = pairs.join(nets, ["site", "first", "second"], "left").fillna(0, ["n1_net", "n2_net", "n3_net"] if "n1_net" in nets.columns else [])
+        wrong = net_llk([F.col("n1_net"), F.col("n2_net"), F.col("n3_net")], F.lit(error), F.lit(float(total_length)), cleaned)
+    return pairs.select("site", "first", "second", (own + shared + wrong).alias("llk"))
 
 
 def best_genotypes(genotypes: DataFrame) -> DataFrame:

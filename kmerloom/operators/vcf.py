@@ -30,11 +30,11 @@ def combine_filters(*named: tuple[Column, str]) -> Column:
     return F.when(joined == "", "PASS").otherwise(joined)
 
 
-def drop_duplicates(calls: DataFrame, by: str | None = None, keep: str = "first") -> DataFrame:
-    """One call of each (chrom, pos, ref, alt): the first or last by a column, or none of those that repeat."""
+def drop_duplicates(calls: DataFrame, by: str | None = None, keep: str = "first", seed: int = 0) -> DataFrame:
+    """One call of each (chrom, pos, ref, alt): the first or last by a column, one at random, or none of those that repeat."""
     if keep == "none":
         return calls.withColumn("_n", F.count("*").over(Window.partitionBy(*_SITE))).where("_n = 1").drop("_n")
-    order = F.col(by or "id")
+    order = F.xxhash64(F.lit(seed), F.col(by or "id")) if keep == "random" else F.col(by or "id")
     return calls.withColumn("_n", F.row_number().over(Window.partitionBy(*_SITE).orderBy(order.desc() if keep == "last" else order.asc()))).where("_n = 1").drop("_n")
 
 
@@ -80,8 +80,28 @@ def complement(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*_SITE).distinct(), _SITE, "left_anti")
 
 
-def lines(calls: DataFrame) -> DataFrame:
-    """Text lines of a VCF body, tab separated; empty fields are dots."""
+def lines(calls: DataFrame, samples: list[str] | None = None, fields: str = "GT:COV:GT_CONF") -> DataFrame:
+    """Text lines of a VCF body, tab separated; empty fields are dots.  samples: columns with a sample's cell each."""
     info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     cells = [F.when(F.coalesce(c.cast("string"), F.lit("")) == "", ".").otherwise(c.cast("string")) for c in (F.col("chrom"), F.col("pos"), F.col("id"), F.col("ref"), F.col("alt"), F.col("qual"), F.col("filter"), info)]
+    if samples:
+        cells += [F.lit(fields), *[F.coalesce(F.col(f"`{x}`"), F.lit(".")) for x in samples]]
     return calls.select(F.concat_ws("\t", *cells).alias("value"))
+
+
+def csv(calls: DataFrame, tags: list[str]) -> DataFrame:
+    """(chrom, pos, id, ref, alt, qual, filter, one column for each INFO tag), to be written as CSV."""
+    return calls.select("chrom", "pos", "id", "ref", "alt", "qual", "filter", *[F.col("info")[t].alias(t) for t in tags])
+
+
+def breakpoints(calls: DataFrame) -> DataFrame:
+    """(id, chrom, start, stop): the first and last reference base that a change touches; of an insertion, those beside it."""
+    gap = (F.length("ref") != F.length("alt")) & (F.substring("ref", 1, 1) == F.substring("alt", 1, 1))
+    start = F.when(gap, F.col("pos") + 1).otherwise(F.col("pos"))
+    stop = F.col("pos") + F.length("ref") - 1
+    return calls.select("id", "chrom", F.least(start, stop).alias("start"), F.greatest(start, stop).alias("stop"))
+
+
+def sampled(calls: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """Each call with a probability, the same ones whenever it runs."""
+    return calls.where(F.pmod(F.xxhash64(F.lit(seed), *_SITE), F.lit(1_000_000)) < int(share * 1_000_000))
