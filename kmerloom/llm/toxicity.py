@@ -1,26 +1,30 @@
 """Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
 
-A text is cut into windows of WINDOW words, each compressed with either
-dictionary; the bytes that the toxic one saves against the ordinary one are the
-window's distance.  Most of a toxic document is ordinary text, so the
-dictionaries are trained in turns on the windows that tell most:
-
-* ordinary text itself is the bulk of both dictionaries, so ordinary windows are
-  as long under either;
-* the toxic dictionary has, besides, what zstandard's trainer finds common among
-  the windows of toxic documents with the largest distances so far;
-* both have what it finds common among ordinary documents' windows with large
-  distances, which takes those distances away.
-
-The distances of a document's windows give a few figures.  A logistic curve over
-these, fitted on labelled rows that no dictionary has seen, sets the thresholds,
-and says which turn's dictionaries are kept.  The fit uses at most TOXIC_ROWS
-and ORDINARY_ROWS labelled rows of at most LONGEST characters each; scoring
-reads every whole text.  Labels, language, source and id are no inputs.
+A window is a word.  It is compressed with either dictionary, and the bytes that
+the toxic one saves against the ordinary one are the window's distance.  A word
+is too short for a match in a dictionary to save whole bytes, so it is first
+spread: each byte becomes three that depend on it and all bytes before it in the
+word.  Spread words share a beginning as long as the words do, and nothing else.
+
+A dictionary for toxic text must hold what is particular to it.  Beginnings of
+words are counted in both classes by the number of different words before them,
+so that copies of a document count once; those several times as frequent in
+toxic text are what the toxic dictionary is trained on.
+
+The distances of a document's windows, each different word once, give a few
+figures; a logistic curve over these, fitted on the same labelled rows, sets the
+thresholds.  The fit uses at most TOXIC_ROWS and ORDINARY_ROWS labelled rows of
+at most LONGEST characters each; scoring reads every whole text.  Labels,
+language, source and id are no inputs.
+
+Dictionaries trained on the whole text of either class, with windows of several
+words, were tried and tell much less: a toxic document is ordinary text but for a
+few words, and the trainer spends its bytes on that.  The README has figures.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,66 +38,51 @@ from .text import SYMBOL
 
 #: Labelled rows of each class that the fit uses at most, and the characters that such a row has at most.
 TOXIC_ROWS, ORDINARY_ROWS, LONGEST = 1500, 3000, 50_000
-#: Words of a window, and words from one window's start to the next.
-WINDOW, STEP = 4, 2
-#: Bytes of ordinary text, and of what is trained in each turn for either class.
-BULK, TOXIC_BYTES, HARD_BYTES = 512 << 10, 3000, 8000
-#: The trainer's lengths of segments and of what must repeat.
-SEGMENT, REPEAT = 16, 6
-#: Turns; the shares of a document's windows that training takes, and the distance they must have.
-TURNS, TOXIC_SHARE, HARD_SHARE, FAR = 9, 0.03, 0.02, 4
+#: Bytes of the dictionaries; words of the samples that ordinary text is cut into.
+TOXIC_BYTES, ORDINARY_BYTES, SAMPLE_WORDS = 16 << 10, 64 << 10, 30
+#: A beginning is particular if it has so many bytes and places, is so many times as frequent in toxic
+#: text, and not rarer there than the most frequent such one by more than FLOOR.
+BEGINNING, PLACES, TIMES, FLOOR = 4, 3, 8, 100
 THRESHOLD = 0.3
+REMEMBERED = 150_000
 #: Texts that are scored together.
 TOGETHER = 1000
 _CLEAN = bytes(0x20 if SYMBOL[b] and not 0x41 <= b <= 0x5A else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_N_FIGURES = 8
 
 
-def windows(text: str | bytes | None) -> tuple[bytes, np.ndarray]:
-    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text with A-Z lower-cased, a space around each, and (offset, length) of its windows in that."""
-    words = (text.encode() if isinstance(text, str) else text or b"").translate(_CLEAN).split()
-    if not words:
-        return b"", np.empty((0, 2), np.uint64)
-    data = b" " + b" ".join(words) + b" "
-    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    end = np.cumsum(length) + 1
-    first = np.arange(0, max(1, len(words) - WINDOW + STEP), STEP)
-    begin = (end - length)[first] - 1
-    return data, np.column_stack([begin, end[np.minimum(first + WINDOW, len(words)) - 1] - begin]).astype(np.uint64)
+def words(text: str | bytes | None) -> list[bytes]:
+    """[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased."""
+    if not text:
+        return []
+    return (text.encode() if isinstance(text, str) else text).translate(_CLEAN).split()
 
 
-class Sizes:
-    """Lengths of windows compressed with one dictionary."""
+def spread(word: bytes) -> bytes:
+    out, h = bytearray(), 0x9E3779B9
+    for b in word:
+        h = (h * 0x01000193 ^ (b + 1) * 0x85EBCA6B) & 0xFFFFFFFF
+        x = (h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
+        out += ((x ^ (x >> 12)) & 0xFFFFFF).to_bytes(3, "little")
+    return bytes(out)
 
-    def __init__(self, dictionary: bytes):
-        own = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        # matches of five bytes or more: shorter ones are met in any two texts
-        how = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(dictionary), source_size=64, min_match=5, write_content_size=False, write_dict_id=False, write_checksum=False)
-        own.precompute_compress(compression_params=how)
-        self.compressor = zstandard.ZstdCompressor(compression_params=how, dict_data=own)
 
-    def __call__(self, data: bytes, spans: np.ndarray) -> np.ndarray:
-        if not len(spans):
-            return np.empty(0, np.int64)
-        out = self.compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(data, spans.tobytes()))
-        return np.fromiter(map(len, out), np.int64, len(spans))
+def _beginnings(texts: list) -> tuple[Counter, int]:
+    """How many different words stand before words with each beginning."""
+    pairs = {(hash(a), b) for t in texts for w in [words(t)] for a, b in zip([b"", *w], w, strict=False)}
+    count: Counter = Counter()
+    for word, n in Counter(b for _, b in pairs).items():
+        for k in range(min(BEGINNING, len(word)), len(word) + 1):
+            count[word[:k]] += n
+    return count, len(pairs)
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int) -> bytes:
     try:
-        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=REPEAT).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: they are the dictionary
         return b"".join(samples)[-size:]
 
 
-def _figures(distance: np.ndarray) -> list[float]:
-    if not len(distance):
-        return [0.0] * _N_FIGURES
-    d = np.sort(distance)[::-1].astype(float)
-    far, farther = int((d >= 5).sum()), int((d >= 7).sum())
-    return [d[0], d[:3].mean(), d[:8].mean(), np.maximum(d - 2, 0).mean(), far / len(d), float(np.log1p(far)), float(np.log1p(farther)), float(np.log1p(len(d)))]
-
-
 @dataclass
 class Model:
     """Two dictionaries and the curve over the figures of a document."""
@@ -105,6 +94,8 @@ class Model:
     scale: np.ndarray
 
     def __post_init__(self) -> None:
+        self._known: dict[bytes, int] = {}
+        self._before: dict[bytes, int] = {}
         self._pair: tuple | None = None
 
     def __getstate__(self) -> dict:
@@ -114,14 +105,24 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def distances(self, data: bytes, spans: np.ndarray) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window against the ordinary one."""
+    def distance(self, word: bytes) -> int:
+        """Bytes that the toxic dictionary saves on a window against the ordinary one."""
         if self._pair is None:
-            self._pair = Sizes(self.ordinary), Sizes(self.toxic)
-        return self._pair[0](data, spans) - self._pair[1](data, spans)
+            own = [zstandard.ZstdCompressionDict(d) for d in (self.toxic, self.ordinary)]
+            self._pair = tuple(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress for d in own)
+        data = spread(word)
+        return len(self._pair[1](data)) - len(self._pair[0](data))
 
     def figures(self, text: str | bytes | None) -> list[float]:
-        return _figures(self.distances(*windows(text)))
+        if len(self._known) > REMEMBERED:
+            self._before, self._known = self._known, {}
+        own, known = set(words(text)), self._known
+        for w in own.difference(known):
+            known[w] = self._before[w] if w in self._before else self.distance(w)
+        d = np.sort(np.fromiter((known[w] for w in own), np.int64, len(own)))[::-1]
+        if not len(d):
+            return [0.0] * 5
+        return [float(d[0]), float(d[:3].mean()), float((d >= 5).mean()), float(np.log1p((d >= 5).sum())), float(np.log1p((d >= 8).sum()))]
 
     def score(self, figures: np.ndarray) -> np.ndarray:
         """0 to 1 for each row of figures."""
@@ -129,79 +130,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class _Corpus:
-    """Some texts' windows, laid end to end."""
-
-    def __init__(self, texts: list):
-        found = [windows(t) for t in texts]
-        start = np.cumsum([0, *(len(d) for d, _ in found)]).astype(np.uint64)
-        self.data = b"".join(d for d, _ in found)
-        self.spans = np.concatenate([np.empty((0, 2), np.uint64), *(s + np.array([a, 0], np.uint64) for (_, s), a in zip(found, start[:-1], strict=True))])
-        self.first = np.cumsum([0, *(len(s) for _, s in found)])
-
-    def each(self, values: np.ndarray) -> list[np.ndarray]:
-        return np.split(values, self.first[1:-1]) if len(self.first) > 1 else []
-
-    def best(self, values: np.ndarray, share: float, least: float) -> list[bytes]:
-        """Of each text the windows of the highest values, a share of them and one at least; different texts of windows count once a text."""
-        out: list[bytes] = []
-        for a, v in zip(self.first.tolist(), self.each(values), strict=False):
-            if len(v):
-                top = np.argsort(-v, kind="stable")[: max(1, int(len(v) * share))]
-                out += dict.fromkeys(self.data[x : x + n] for x, n in self.spans[a + top[v[top] >= least]].tolist())
-        return out
-
-
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(weights, centre, scale, mean log-loss) of a logistic curve, by Newton's method with a small ridge."""
-    centre, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), (x - centre) / scale])
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(len(w)), z.T @ (p - y) + 0.5 * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w, centre, scale, float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).mean())
-
-
 def fit(texts: list, toxic: list) -> Model | None:
-    """A model of labelled texts; None without texts of both classes.
-
-    Every third text of a class is for the curve alone if there are 60 of each class, else the same texts serve for both.
-    """
+    """A model of labelled texts; None without texts of both classes."""
     rows = list({t: int(y) for t, y in zip(texts, toxic, strict=True) if t}.items())
     bad, good = [t for t, y in rows if y], [t for t, y in rows if not y]
     if not bad or not good:
         return None
-    apart = min(len(bad), len(good)) >= 60
-    own = [[t for k, t in enumerate(part) if not apart or k % 3] for part in (bad, good)]
-    judged = [[t for k, t in enumerate(part) if not apart or k % 3 == 0] for part in (bad, good)]
-    half = len(own[1]) // 2
-    toxic_windows, hard_windows = _Corpus(own[0]), _Corpus(own[1][:half] or own[1])
-    bulk = _Corpus(own[1][half:] or own[1]).data[-BULK:]
-    curve_rows = _Corpus(judged[0] + judged[1])
-    y = np.repeat([1.0, 0.0], [len(judged[0]), len(judged[1])])
-    # at first, the windows that ordinary text says least about
-    extra = _trained(toxic_windows.best(Sizes(bulk)(toxic_windows.data, toxic_windows.spans), 0.3, 0), TOXIC_BYTES)
-    hard, best = b"", None
-    for _ in range(TURNS):
-        base = (bulk + hard)[-BULK:]
-        model = Model(base[len(extra) :] + extra, base, *(np.zeros(1),) * 3)
-        figures = np.array([_figures(d) for d in curve_rows.each(model.distances(curve_rows.data, curve_rows.spans))])
-        model.weights, model.centre, model.scale, loss = _curve(figures, y)
-        if best is None or loss < best[0]:
-            best = loss, model
-        far = model.distances(hard_windows.data, hard_windows.spans)
-        if wrong := hard_windows.best(far, HARD_SHARE, FAR):
-            hard = (hard + _trained(wrong, HARD_BYTES))[-(BULK // 2) :]
-        if not (telling := toxic_windows.best(model.distances(toxic_windows.data, toxic_windows.spans), TOXIC_SHARE, FAR)):
+    in_bad, n_bad = _beginnings(bad)
+    in_good, n_good = _beginnings(good)
+    more = {p: n for p, n in in_bad.items() if n >= min(PLACES, len(bad)) and n / max(n_bad, 1) > TIMES * (in_good[p] + 1) / max(n_good, 1)}
+    top = max(more.values(), default=0)
+    own = {p for p, n in more.items() if FLOOR * n >= top}
+
+    def particular(word: bytes) -> bytes:
+        return next((spread(word[:k]) for k in range(len(word), 0, -1) if word[:k] in own), b"")
+
+    samples = [s for t in bad if (s := b"".join(map(particular, words(t))))]
+    every = [w for t in good for w in words(t)]
+    shape = {w: spread(w) for w in set(every)}
+    plain = [b"".join(map(shape.__getitem__, every[i : i + SAMPLE_WORDS])) for i in range(0, len(every), SAMPLE_WORDS)]
+    model = Model(_dictionary(samples or [b"\0" * 8], TOXIC_BYTES), _dictionary(plain or [b"\0" * 8], ORDINARY_BYTES), np.zeros(6), np.zeros(5), np.ones(5))
+    x = np.array([model.figures(t) for t, _ in rows])
+    y = np.array([y for _, y in rows], float)
+    model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - model.centre) / model.scale])
+    w = np.zeros(6)
+    for _ in range(50):  # Newton's method with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step_ = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(6), z.T @ (p - y) + 0.5 * w)
+        w -= step_
+        if np.abs(step_).max() < 1e-8:
             break
-        extra = _trained(telling, TOXIC_BYTES)
-    model = best[1]
-    # the curve's rows have the classes in other shares than all rows; fit_labels puts that right for its sample
-    model.weights[0] += np.log(len(bad) / len(good)) - np.log(len(judged[0]) / len(judged[1]))
+    # the sample may hold more toxic rows than their share; fit_labels puts that right
+    model.weights = w
     return model
 
 
@@ -245,7 +206,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_c
             at = batch.schema.get_field_index(text_col)
             for start in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(start, TOGETHER)
-                figures = np.array([model.figures(t) for t in part.column(at).cast(pa.large_binary()).to_pylist()]).reshape(-1, _N_FIGURES)
+                figures = np.array([model.figures(t) for t in part.column(at).cast(pa.large_binary()).to_pylist()]).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(figures))], [*batch.schema.names, score_col])
 
     fields = out.schema
