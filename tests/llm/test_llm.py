@@ -230,15 +230,50 @@ def test_mixing(spark, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def worst_lag(spark, weights):
+    """How far any source is from its share at most, and the slots of a cycle."""
+    rows = mixing.cycle(spark.createDataFrame(list(weights.items()), "key string, s long")).collect()
+    q, total = rows[0]["q"], sum(weights.values())
+    assert sorted(x for r in rows for x in r["slots"]) == list(range(q)) and len(rows) == len(weights)
+    worst = 0.0
+    for r in rows:
+        slots, share = np.array(sorted(r["slots"])), weights[r["key"]] / total
+        assert len(slots) == r["s"]
+        j = np.arange(len(slots))
+        worst = max(worst, np.abs(j + 1 - (slots + 1) * share).max(), np.abs(j - slots * share).max(), abs(len(slots) - q * share))
+    return worst, q
+
+
 def test_schedule_is_less_than_a_block_off(spark):
-    weights = {"a": 500, "b": 333, "c": 100, "d": 66, "e": 1}
-    df = spark.createDataFrame(list(weights.items()), "key string, s long")
-    picks = [r["key"] for r in mixing.cycle(df).orderBy("slot").collect()]
-    assert len(picks) == 1000
-    done = Counter()
-    for t, key in enumerate(picks, 1):
-        done[key] += 1
-        assert all(abs(done[k] - s * t / 1000) < 1 for k, s in weights.items())
+    assert worst_lag(spark, {"a": 500, "b": 333, "c": 100, "d": 66, "e": 1}) < (1, 1001)
+    assert worst_lag(spark, {"a": 12, "b": 8, "c": 4})[1] == 6 and worst_lag(spark, {"a": 7})[0] == 0
+    many = {"big": 400} | {f"s{i}": 4 for i in range(2000)}
+    lag, q = worst_lag(spark, many)
+    assert lag < 1 and q == 2100
+
+
+def test_weights_beyond_a_cycle_are_rounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CYCLE", 50)
+    monkeypatch.setattr(mixing, "FINE", 4)
+    rows = {r["key"]: r for r in mixing.cycle(spark.createDataFrame([("a", 70_001), ("b", 30_011), ("c", 1)], "key string, s long")).collect()}
+    assert {k: r["s"] for k, r in rows.items()} == {"a": 35, "b": 15, "c": 1} and sorted(x for r in rows.values() for x in r["slots"]) == list(range(51))
+
+
+def test_mixing_of_hot_ids_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    rows = [(7, f"t{i % 3}", "a", i) for i in range(150)] + [(None, "n", "a", i) for i in range(60)] + [(i, "t", "ab"[i % 2], i) for i in range(100)] + [(1, None, None, 0)]
+    docs = spark.createDataFrame([(*r, "k", 5, 6, 7, 8) for r in rows], "doc_id long, text string, source string, n int, `_key` string, s int, q int, slot int, `a.b` int")
+    got = mixing.mixed(docs).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"], r["n"]) for r in got) == Counter(rows) and all((r["_key"], r["s"], r["q"], r["slot"], r["a.b"]) == ("k", 5, 6, 7, 8) for r in got)
+    for source in ("a", "b", None):
+        own = sorted((r["_block"], r["_place"]) for r in got if r["source"] == source)
+        assert own == [divmod(i, mixing.BLOCK) for i in range(len(own))]
+    assert len({r["_slot"] for r in got}) == len({(r["source"], r["_block"]) for r in got})
+    monkeypatch.setattr(mixing, "SENT_SLOTS", 0)
+    plain = docs.where("doc_id <> 7")
+    joined = sorted(map(str, mixing.mixed(plain).collect()))
+    monkeypatch.setattr(mixing, "SENT_SLOTS", 1 << 20)
+    assert sorted(map(str, mixing.mixed(plain).collect())) == joined
 
 
 def test_mixing_numbers_groups_alike(spark, monkeypatch):
