@@ -166,17 +166,26 @@ def overlapping_features(calls: DataFrame, features: DataFrame, width: int = WID
     return met.groupBy(*_SITE).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("features"))
 
 
-def nearest_feature(calls: DataFrame, features: DataFrame) -> DataFrame:
+def nearest_feature(calls: DataFrame, features: DataFrame, width: int = WIDTH) -> DataFrame:
     """(chrom, pos, ref, alt, distance): bases from a call's start to the nearest feature's span, 0 inside, null on a chromosome without any.
 
-    One sort of calls and features together: the furthest stop before and the next start after.
+    Calls and features are sorted together within windows of positions: the
+    furthest stop before and the next start after.  What lies in other windows
+    comes from one row for each of them.
     """
     points = features.select("chrom", F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("start").alias("from"), F.col("stop").alias("to"), *[F.lit(None).cast(t).alias(c) for c, t in (("ref", "string"), ("alt", "string"))])
     rows = points.unionByName(calls.select("chrom", F.col("pos").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("to"), "ref", "alt"))
-    before = Window.partitionBy("chrom").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("chrom").orderBy(F.desc("at"), F.asc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumns({"b": F.when(F.max("to").over(before).isNotNull(), F.greatest(F.col("at") - F.max("to").over(before), F.lit(0))), "a": F.min("from").over(after) - F.col("at")})
-    return near.where("kind = 1").select("chrom", F.col("at").alias("pos"), "ref", "alt", F.least("b", "a").alias("distance"))
+    rows = rows.withColumn("w", F.floor(F.col("at") / width))
+    whole = Window.partitionBy("chrom").orderBy("w")
+    others = rows.groupBy("chrom", "w").agg(F.max("to").alias("t"), F.min("from").alias("f"))
+    others = others.select("chrom", "w", F.max("t").over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("t"), F.min("f").over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("f"))
+    before = Window.partitionBy("chrom", "w").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("chrom", "w").orderBy(F.desc("at"), F.asc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({"_to": F.max("to").over(before), "_from": F.min("from").over(after)}).where("kind = 1")
+    near = own.join(others, ["chrom", "w"])
+    behind, ahead = F.greatest("_to", "t"), F.least("_from", "f")
+    distance = F.least(F.when(behind.isNotNull(), F.greatest(F.col("at") - behind, F.lit(0))), ahead - F.col("at"))
+    return near.select("chrom", F.col("at").alias("pos"), "ref", "alt", distance.alias("distance"))
 
 
 def sv_lengths(calls: DataFrame) -> DataFrame:

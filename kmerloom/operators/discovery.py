@@ -25,9 +25,14 @@ def with_flanks(found: DataFrame, paths: DataFrame, k: int, longest: int = FLANK
 
 
 def numbered(variants: DataFrame) -> DataFrame:
-    """var_id by the order of the sequences; variants of one graph are far fewer than its k-mers."""
-    order = Window.orderBy("flank5p", "branch1", "branch2", "flank3p")
-    return variants.withColumn("var_id", F.concat(F.lit("var_"), F.row_number().over(order).cast("string")))
+    """var_id by the order of the sequences: ranges of them are sorted apart, and a variant's number is those of the ranges before and its row in its own."""
+    order = ["flank5p", "branch1", "branch2", "flank3p"]
+    rows = written(variants.repartitionByRange(*order).sortWithinPartitions(*order)).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    part = F.regexp_extract("_file", "part-(\\d+)", 1).cast("long")
+    before = F.sum("_n").over(Window.orderBy(part, "_file")) - F.col("_n")  # a row for each file
+    whole = rows.join(files.select("_file", before.alias("_before")), "_file")
+    return whole.withColumn("var_id", F.concat(F.lit("var_"), (F.col("_before") + F.col("_row") + 1).cast("string"))).drop("_file", "_row", "_before")
 
 
 def call_bubbles(nodes: DataFrame, k: int, first: list[str], second: list[str], excluded: str | None = None) -> DataFrame:

@@ -43,12 +43,18 @@ def combine_alleles(calls: DataFrame) -> DataFrame:
     return calls.groupBy("chrom", "pos", "ref").agg(F.array_sort(F.collect_set("alt")).alias("alts"))
 
 
-def remove_overlaps(calls: DataFrame, padding: int = 0) -> DataFrame:
-    """Calls whose reference span, widened by padding, meets no other's."""
-    span = calls.withColumn("_end", F.col("pos") + F.greatest(F.length("ref"), F.lit(1)) - 1 + padding)
-    order = Window.partitionBy("chrom").orderBy("pos", "ref", "alt")
-    marked = span.withColumns({"_before": F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.lead("pos").over(order)})
-    return marked.where("(_before IS NULL OR _before < pos) AND (_after IS NULL OR _after > _end)").drop("_end", "_before", "_after")
+def remove_overlaps(calls: DataFrame, padding: int = 0, width: int = 1 << 16) -> DataFrame:
+    """Calls whose reference span, widened by padding, meets no other's.
+
+    Calls are sorted within windows of positions; two that meet have a window in
+    common, so no task sorts a chromosome.
+    """
+    stop = F.col("pos") + F.greatest(F.length("ref"), F.lit(1)) - 1 + padding
+    spans = calls.select(*_SITE, stop.alias("_end"))
+    each = spans.withColumn("_w", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor(F.col("_end") / width))))
+    order = Window.partitionBy("chrom", "_w").orderBy("pos", "ref", "alt")
+    marked = each.withColumns({"_before": F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.lead("pos").over(order)})
+    return calls.join(marked.where("_before >= pos OR _after <= _end").select(*_SITE).distinct(), _SITE, "left_anti")
 
 
 def filter_regions(calls: DataFrame, regions: DataFrame) -> DataFrame:
