@@ -39,6 +39,8 @@ BITS, NEAR, SEED, SHINGLE = 64, 3, 42, 3
 SEGMENT = 31  # 2^5 - 1: the length of a perfect Hamming code
 #: Members of an anchor up to which all its pairs are compared at once.
 SMALL = 64
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
 #: Members of an anchor above which they are dealt out by the other bits, in so many blocks.
 HOT_ANCHOR, BLOCKS = 50_000, NEAR + 1
 #: A class is hot if it holds more rows than both HOT_ROWS and this share of all: there are fewer than HOT_SHARE.
@@ -180,12 +182,17 @@ def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _spread(fp[at : at + n], forest)
         group = np.repeat(np.arange(len(start)), size)
         home = np.flatnonzero(at_home & (size[group] <= SMALL) & (size[group] > 1))
-        n = size[group[home]]
-        left = np.repeat(home, n)
-        right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[home]], n)
-        near = (left != right) & (np.bitwise_count(fp[left].view(_U) ^ fp[right].view(_U)) <= NEAR)
-        for a, b in zip(fp[left[near]].tolist(), fp[right[near]].tolist(), strict=True):
-            forest.join(a, b)
+        many = np.cumsum(size[group[home]])
+        begin = 0
+        while begin < len(home):  # so many pairs at a time
+            end = max(begin + 1, int(np.searchsorted(many, (many[begin - 1] if begin else 0) + PAIRS, "right")))
+            own, begin = home[begin:end], end
+            n = size[group[own]]
+            left = np.repeat(own, n)
+            right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[own]], n)
+            near = ((left < right) | ~at_home[right]) & (np.bitwise_count(fp[left].view(_U) ^ fp[right].view(_U)) <= NEAR)
+            for x, y in zip(fp[left[near]].tolist(), fp[right[near]].tolist(), strict=True):
+                forest.join(x, y)
         links = forest.links
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
