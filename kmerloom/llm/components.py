@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
 
+#: Links up to which one task finds the components, in some 100 MB.
+SMALL = 1 << 20
+
+
+def _found_here(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a few links: labels sink to the least, along links and from label to label."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    ends = np.concatenate([table.column(c).to_numpy() for c in ("a", "b")])
+    nodes, place = np.unique(ends, return_inverse=True)
+    a, b = place[: table.num_rows], place[table.num_rows :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        x, y = label[a], label[b]  # the least nodes of the trees so far: one is hung under the other
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    for at in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)]), pa.array(nodes[label[at : at + (1 << 16)]])], ["node", "root"])
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (a, b: long); root is one node of the component.
 
-    Randomised contraction: in each round every node joins the neighbour (or
+    A few links are worked through by one task.  More by randomised contraction: in each round every node joins the neighbour (or
     itself) that comes first in that round's random order, and each group
     becomes one node.  The order is a seeded hash, so a lost task is made again
     alike.  The links shrink by a constant factor a round, whatever their shape;
@@ -26,6 +52,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         return F.struct(F.xxhash64(node, F.lit(turn)).alias("rank"), node.alias("node"))
 
     links = written(tidy(links), "links")
+    if links.count() <= SMALL:
+        return links.coalesce(1).mapInArrow(_found_here, "node long, root long")
     turns: list[DataFrame] = []
     while not links.isEmpty():
         turn = len(turns)

@@ -84,7 +84,11 @@ def test_anchors_lose_no_link(spark, monkeypatch, hot):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, small):
+    from kmerloom.llm import components
+
+    monkeypatch.setattr(components, "SMALL", small)
     links = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(1001, 1040)] + [(7, 7), (2000, None)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len({got[i] for i in range(51)}) == 1 and len({got[i] for i in range(1000, 1040)}) == 1 and len(set(got.values())) == 2
