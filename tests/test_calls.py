@@ -46,7 +46,27 @@ def test_pair_duplicates_against_running_history(spark):
 
 
 def brute_correct(seq, qual, k, cutoff, policy, words):
-    return correction.corrected(seq, qual, k, cutoff, policy, lambda w: min(w, rc(w)) in words and set(w) <= set("ACGT"))
+    """Written out by itself: from the first k-mer in the graph to the right end, then to the left."""
+    there = lambda w: not set(w) - set("ACGT") and min(w, rc(w)) in words
+    poor = [i for i, q in enumerate(qual) if ord(q) < cutoff]
+    if not poor:
+        return ("uncorrected", [], seq, qual)
+    starts = [i for i in range(len(seq) - k + 1) if there(seq[i : i + k])]
+    if not starts:
+        return ("discard" if policy == correction.DISCARD else "uncorrected", [], seq, qual)
+    places = []
+    todo = [(i, i + k - 1) for i in range(starts[0] + 1, len(seq) - k + 1)] + [(i, i) for i in reversed(range(starts[0]))]
+    for start, at in todo:
+        if at not in poor or there(seq[start : start + k]):
+            continue
+        changed = [seq[:at] + b + seq[at + 1 :] for b in "ACGT" if b != seq[at]]
+        ways = [s for s in changed if there(s[start : start + k])]
+        if len(ways) == 1:
+            seq, qual = ways[0], qual[:at] + chr(cutoff + 1) + qual[at + 1 :]
+            places.append(at)
+        elif policy == correction.DISCARD:
+            return ("discard", places, seq, qual)
+    return ("corrected", places, seq, qual)
 
 
 @pytest.mark.parametrize("policy", [correction.KEEP, correction.DISCARD])
@@ -303,3 +323,38 @@ def test_simulated_reads(spark):
     noisy = fastn.simulated_reads(refs, 50, 3.0, error=0.1, seed=1).collect()
     diffs = [sum(a != b for a, b in zip(x["seq"], y["seq"], strict=True)) for x, y in zip(sorted(exact, key=lambda r: r["name"]), sorted(noisy, key=lambda r: r["name"]), strict=True)]
     assert 60 < sum(diffs) < 260
+
+
+def test_correction_statistics(spark):
+    rows = [(1, "corrected", 2, [3, 5]), (2, "corrected", 0, []), (3, "discard", 1, [3]), (4, "uncorrected", 0, [])]
+    found = spark.createDataFrame(rows, "id long, decision string, n_fixed int, places array<int>")
+    assert tuple(correction.correction_stats(found).first()) == (4, 3, 1, 1)
+    assert {r["n_fixed"]: r["n"] for r in correction.fixes_per_read(found).collect()} == {2: 1, 0: 2}
+    assert {r["place"]: r["n"] for r in correction.fixes_by_place(found).collect()} == {3: 2, 5: 1}
+
+
+def test_confusion_branches_header_and_filters(spark):
+    calls = spark.createDataFrame([("1/1", "1/1", 5.0), ("0/1", "1/1", 15.0), ("0/1", "1/1", 19.9), ("0/0", "0/0", 500.0), ("0/0", "0/1", -1.0)], "truth string, gt string, gt_conf double")
+    assert {(r["bin"], r["truth"], r["gt"]): r["n"] for r in callset.confusion(calls).collect()} == {(1, "1/1", "1/1"): 1, (2, "0/1", "1/1"): 2, (11, "0/0", "0/0"): 1, (0, "0/0", "0/1"): 1}
+    flanked = spark.createDataFrame([("v", "A", "GT", "CC", "TT")], "id string, ref string, alt string, left_flank string, right_flank string")
+    assert {r["name"]: r["seq"] for r in callset.allele_branches(flanked).collect()} == {"v_ref": "CCATT", "v_alt": "CCGTTT"}
+    assert callset.header(["s"])[-1].split("\t")[-2:] == ["FORMAT", "s"] and len(callset.header()[-1].split("\t")) == 8
+    rows = spark.createDataFrame([(1, 1), (1, 0), (0, 0)], "a int, b int")
+    assert [r[0] for r in rows.select(vcf.combine_filters((F.col("a") == 1, "MAPQ"), (F.col("b") == 1, "REP"))).collect()] == ["MAPQ,REP", "MAPQ", "PASS"]
+    kinds = [("A", "G", "SNP"), ("AC", "GT", "INV"), ("AC", "GG", "PH_SNPS"), ("", "A", "INS"), ("A", "", "DEL"), ("A", "AC", "INS"), ("AC", "A", "DEL"), ("AC", "ACG", "INDEL"), ("ACG", "CG", "INDEL"), ("AC", "GGG", "COMPLEX")]
+    got = spark.createDataFrame(kinds, "ref string, alt string, kind string").select("kind", vcf.svtype(F.col("ref"), F.col("alt"))).collect()
+    assert all(r[0] == r[1] for r in got)
+
+
+def test_running_coverage_of_a_stream(spark, tmp_path):
+    from kmerloom.streaming.kmers import running_coverage
+
+    schema = "sample string, read_id long, mate int, seq string, qual string"
+    parts = [[("s", 1, 0, "ACGTACGTAC", None)], [("s", 2, 0, "ACGTACG", None), ("t", 3, 0, "GGGGG", None)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{i}"))
+    reads = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+    query = running_coverage(reads, 5).writeStream.outputMode("complete").format("memory").queryName("covg").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    whole = graph.build(filters.contigs(spark.createDataFrame([r for p in parts for r in p], schema), 5), 5)
+    assert sorted(map(tuple, spark.table("covg").collect())) == sorted((r["kmer"], r["colour"], r["covg"]) for r in whole.collect())
