@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import PACKED, kmer_type, node, node_kmer, node_text, reverse_complement
+from ..functions.dna import PACKED, node, node_kmer, node_text, reverse_complement
 from ..tables import written as _written
 from .graph import clean_orphan_edges, degree, oriented_edges
 
@@ -37,7 +37,6 @@ def paths(graph: DataFrame, k: int) -> DataFrame:
     edges) of one colour or of a union.
     """
     nodes = graph.select("kmer", "covg", degree(F.col("edges"), F.lit(True)).alias("a"), degree(F.col("edges"), F.lit(False)).alias("b"))
-    kind = kmer_type(k)
     side = lambda fw, x, y: F.when(F.col(fw), F.col(x)).otherwise(F.col(y))
     edges = oriented_edges(graph, k)
     edges = edges.join(nodes.select(F.col("kmer").alias("src"), F.col("a").alias("sa"), F.col("b").alias("sb")), "src")
@@ -48,9 +47,19 @@ def paths(graph: DataFrame, k: int) -> DataFrame:
             side("src_fw", "sa", "sb").alias("src_out"), side("src_fw", "sb", "sa").alias("src_in"), side("dst_fw", "a", "b").alias("dst_out"), side("dst_fw", "b", "a").alias("dst_in"),
         )
     )
+    return ranked(edges)
+
+
+def ranked(edges: DataFrame) -> DataFrame:
+    """edges with (path, edge_no): the first edge of each one's chain and the steps to it.
+
+    edges is a table with at least (src, dst, base, dst_in, dst_out); an edge goes
+    on where the last two are 1.
+    """
     if edges.count() <= SMALL:
-        schema = f"src {kind}, dst {kind}, base int, covg long, src_out int, src_in int, dst_out int, dst_in int, path struct<src: {kind}, base: int>, edge_no long"
-        return edges.coalesce(1).mapInArrow(_ranked_here, schema)
+        kind = dict(edges.dtypes)["src"]
+        schema = ", ".join(f"{c} {t}" for c, t in edges.dtypes)
+        return edges.coalesce(1).mapInArrow(_ranked_here, f"{schema}, path struct<src: {kind}, base: int>, edge_no long")
     # an edge is named by its node and base; the one before it, if any, ends where it starts
     named = edges.withColumn("edge", F.struct("src", "base"))
     before = edges.where("dst_in = 1 AND dst_out = 1").select(F.col("dst").alias("src"), F.struct("src", "base").alias("up"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement, unpacked
-from ..operators import callset, correction, coverage, discovery, fastn, filters, genotype, graph, population, supernodes as nodes_on, unitigs, vcf
+from ..operators import callset, correction, coverage, discovery, fastn, filters, genotype, graph, population, stretches, supernodes as nodes_on, unitigs, vcf
 from ..sources.reads import reads_of_prose
 
 K, K_PATHS, K_WIDE = 11, 15, 41
@@ -106,9 +106,8 @@ def cleaned_supernodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = reads_of_prose(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("one", F.lit("all")), "one")
-    nodes = graph.build(filters.contigs(reads, K_PATHS), K_PATHS)
-    return unitigs.bubbles(unitigs.written(graph.union_of_colours(nodes)), K_PATHS).select("branch1", "branch2")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return stretches.bubbles_of_reads(docs, K_PATHS, "text", stretches.PROSE).select("branch1", "branch2")
 
 
 def item_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
