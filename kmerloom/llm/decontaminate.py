@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .text import SYMBOL, Words, grams, pieces
 
 SHINGLE, SHARE = 5, Fraction(4, 5)
 #: Bytes of items' text in a block.
 BLOCK_BYTES = 8 << 20
+#: Rows that are searched, and handed back, at a time.
+TOGETHER = 1000
 _FOUND = "array<struct<item_id: bigint, n_shared: bigint, n_shingles: bigint>>"
 _U = np.uint64
 
@@ -137,12 +140,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
             sketches = Sketches(block)
             for batch in batches:
                 at = batch.schema.get_field_index(text_col)
-                stays = np.ones(batch.num_rows, bool)
-                for t, *_ in sketches.search(batch.column(at).cast(pa.large_binary()).to_pylist()):
-                    stays[t] = False
-                yield batch.filter(pa.array(stays))
-
-        return run
+                for start in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(start, TOGETHER)
+                    stays = np.ones(part.num_rows, bool)
+                    for t, *_ in sketches.search(part.column(at).cast(pa.large_binary()).to_pylist()):
+                        stays[t] = False
+                    yield part.filter(pa.array(stays))
+
+        return lean(run)
 
     for block in _blocks(items, item_col, item_text_col):
         docs = docs.mapInArrow(search(block), docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import batches_of, written
+from .shared import batches_of, lean, written
 from .simhash import BITS, near_links
 from .text import BLANK, Words, grams, mix, pieces
 
@@ -121,7 +121,7 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes whose sets are at least LEAST alike."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "links")
+    return written(both.select("a", "b", "x", "y").mapInArrow(lean(_alike), "a long, b long"), "links")
 
 
 def _of_fingerprints(classes: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _measures(held: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, n, shared): the shingles of each class in held, and those that another class there has too; classes that nothing can be like are left out."""
     own = sets.join(held.select("node").distinct(), "node", "left_semi")
     sizes = own.select("node", F.expr("length(shingles) div 8").alias("n"))
-    alone = own.select("node", "shingles").mapInArrow(_shingles_of, "node long, shingle int").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = own.select("node", "shingles").mapInArrow(lean(_shingles_of), "node long, shingle int").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     unique = alone.groupBy("node").agg(F.count("*").alias("u"))
     measures = sizes.join(unique, "node", "left").select("node", F.col("n").cast("int").alias("n"), (F.col("n") - F.coalesce("u", F.lit(0))).cast("int").alias("shared"))
     return measures.where(F.col("shared") >= LEAST * F.col("n"))
@@ -222,7 +222,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = F.xxhash64(text)
     with batches_of(docs.sparkSession, TOGETHER):
         kind = dict(docs.dtypes)[id_col]
-        rows = docs.select(F.col(id_col).alias("doc_id"), hashed.alias("hash"), text.alias("text")).mapInArrow(_classes_of, f"doc_id {kind}, {_CLASSES}")
+        rows = docs.select(F.col(id_col).alias("doc_id"), hashed.alias("hash"), text.alias("text")).mapInArrow(lean(_classes_of), f"doc_id {kind}, {_CLASSES}")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("hash").alias("hash"))).alias("least")
         classes = written(rows.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
         every = classes.select("node", F.posexplode("bands").alias("k", "band"))
@@ -234,7 +234,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         of = classes.join(wanted, "node", "left_semi").select(F.col("least.doc_id").alias("_id"), F.col("least.hash").alias("_of"))
         texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), hashed.alias("hash"))
         one = texts.join(of, texts["doc_id"].eqNullSafe(of["_id"]) & (texts["hash"] == of["_of"]), "left_semi").dropDuplicates(["doc_id", "hash"])
-        sets = written(one.select("text").mapInArrow(_sets_of, "node long, shingles binary"), "sets")
+        sets = written(one.select("text").mapInArrow(lean(_sets_of), "node long, shingles binary"), "sets")
         links = _verified(near, sets)
         links = links.unionByName(_verified(_ordered(_with_ends(_held(met.where(f"k < {FIRST}"), links))), sets))
         held = written(_held(met, links), "held")

@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .text import SYMBOL
 
 #: Labelled rows of each class that the fit uses at most, and the characters that such a row has at most.
@@ -210,7 +211,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_c
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(figures))], [*batch.schema.names, score_col])
 
     fields = out.schema
-    return out.mapInArrow(run, type(fields)([*fields.fields]).add(score_col, "double"))
+    return out.mapInArrow(lean(run), type(fields)([*fields.fields]).add(score_col, "double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

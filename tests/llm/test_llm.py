@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -140,6 +143,36 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminations(empty, items).count() == 0 and decontaminate.contaminations(docs, items.where("item_id = 9")).count() == 0
 
 
+def test_decontamination_of_more_rows_than_go_together(spark):
+    item = "one two three four five six seven eight"
+    docs = spark.range(2 * decontaminate.TOGETHER + 500).coalesce(1).selectExpr("id AS doc_id", f"CASE WHEN id % 997 = 3 THEN 'x {item} y' ELSE 'other words ' || id END AS text")
+    left = {r["doc_id"] for r in decontaminate.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert left == {i for i in range(2 * decontaminate.TOGETHER + 500) if i % 997 != 3}
+
+
+_MEMORY = """
+import re
+import pyarrow as pa
+from kmerloom.llm.shared import lean
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+def run(batches):
+    for batch in batches:
+        parts = [bytes(1000) for _ in range(200_000)]
+        kept.append(bytes(1000))  # stands above what is freed, which the allocator then keeps
+        yield batch
+        del parts
+kept, batch = [], pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
+before = held()
+assert list(lean(run)([batch])) == [batch]
+print(held() - before)
+"""
+
+
+def test_a_task_gives_freed_memory_back():
+    said = subprocess.run([sys.executable, "-c", _MEMORY], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(said.stdout) < 100
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
     items = [(i, prose(20 + i, 700 + i)) for i in range(8)]
